@@ -9,14 +9,28 @@ from pyspark.sql import functions as F
 from tallyloom.functions import text as X
 from tallyloom.llm.distinctive import term_distinctiveness
 from tallyloom.llm.seed_tree import group_matches
+from tallyloom.llm.vantage import nearest
 from tallyloom.operators.records import one_per_id
 from tallyloom.plans.large import SQL_COMMUNITY
 from tallyloom.session import table
 
+NEIGHBOURS = 10
+ALIKE = 0.85
 MIN_LINKS = 5
 TOP_DOMAINS = 3
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = nearest(table(spark, sf_dir, "comment_vectors"), "vec_id", "vec", NEIGHBOURS, ALIKE, factor=0.15, shard_factor=0.06)
+    return best.select(F.least("vec_id", "neighbour").alias("vec_id_1"), F.greatest("vec_id", "neighbour").alias("vec_id_2")).distinct()
+
+
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 50, however far, searched in all vectors."""
+    best = nearest(table(spark, sf_dir, "comment_vectors"), "vec_id", "vec", NEIGHBOURS, -1.0, factor=0.4, queries=F.col("vec_id") % 50 == 0)
+    return best.select("vec_id", "neighbour", F.round("similarity", 6).alias("similarity"))
+
+
 def link_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = one_per_id(table(spark, sf_dir, "submissions"), subreddit=X.community("subreddit"), domain=X.domain("domain"))
     return rows.where(F.col("subreddit").isNotNull() & F.col("domain").isNotNull())
@@ -62,8 +76,13 @@ def _sql_part(k: str, row: str, column: str) -> str:
 _G = "2 * (" + " + ".join([_sql_part("n", "tt", "rt"), _sql_part("(rt - n)", "al - tt", "rt"), _sql_part("(tt - n)", "tt", "al - rt"), _sql_part("(al - rt - tt + n)", "al - tt", "al - rt")]) + ")"
 SQL_PAIR_ENDS = ", ".join(f"CASE WHEN trim(author_{i}, {_S}) NOT IN ('', '[deleted]', '[removed]', 'AutoModerator') THEN trim(author_{i}, {_S}) END AS {c}" for i, c in ((1, "a"), (2, "b")))
 
-QUERIES = {"p5_found": p5_found, "p5_likelihood": p5_likelihood, "p7_found": p7_found}
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p5_found": p5_found, "p5_likelihood": p5_likelihood, "p7_found": p7_found}
+SQL_VECTORS = "v AS (SELECT vec_id, any_value(vec)::DOUBLE[] AS vec FROM comment_vectors WHERE vec IS NOT NULL AND list_dot_product(vec, vec) > 0 GROUP BY vec_id)"
 SQL = {
+    "p2_found": f"""WITH {SQL_VECTORS},
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.vec, b.vec) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.vec, b.vec) >= {ALIKE}),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s)
+SELECT DISTINCT least(a, b) AS vec_id_1, greatest(a, b) AS vec_id_2 FROM r WHERE k <= {NEIGHBOURS}""",
     "p5_found": f"WITH {SQL_LINKS} SELECT subreddit, domain FROM w WHERE rt >= {MIN_LINKS} QUALIFY row_number() OVER (PARTITION BY subreddit ORDER BY weight DESC, domain) <= {TOP_DOMAINS}",
     "p5_likelihood": f"WITH {SQL_LINKS} SELECT subreddit, domain, n::BIGINT AS n, round(CASE WHEN n < tt * rt / al THEN -1 ELSE 1 END * greatest({_G}, 0), 6) AS llr, weight FROM w",
     "p7_found": f"""WITH RECURSIVE p AS (SELECT {SQL_PAIR_ENDS} FROM suspicious_pairs),
