@@ -27,6 +27,7 @@ def _scan(key: list[str], gap: float, schema: T.StructType):
         for batch in batches:
             if not batch.num_rows:
                 continue
+            batch = pa.RecordBatch.from_arrays(batch.columns, names=batch.schema.names)  # all columns nullable, as in held
             if held is not None:
                 batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
             a, b, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "n"))
