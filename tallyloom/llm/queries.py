@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as X
 from tallyloom.llm.distinctive import term_distinctiveness
+from tallyloom.llm.near_copies import copy_groups, copy_pairs, near_copies
 from tallyloom.llm.seed_tree import group_matches
 from tallyloom.llm.vantage import nearest
 from tallyloom.operators.records import one_per_id
@@ -31,6 +32,20 @@ def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("vec_id", "neighbour", F.round("similarity", 6).alias("similarity"))
 
 
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, text) of comments and submissions."""
+    comments = table(spark, sf_dir, "comments").select(F.concat(F.lit("t1_"), "id").alias("name"), F.col("body").alias("text"))
+    return comments.union(table(spark, sf_dir, "submissions").select(F.concat(F.lit("t3_"), "id").alias("name"), F.col("selftext").alias("text")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copy_pairs(*near_copies(posts(spark, sf_dir), "name", "text", threshold=0.5, words=3, least_words=10))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copy_groups(*near_copies(posts(spark, sf_dir), "name", "text", threshold=0.5, words=3, least_words=10))
+
+
 def link_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = one_per_id(table(spark, sf_dir, "submissions"), subreddit=X.community("subreddit"), domain=X.domain("domain"))
     return rows.where(F.col("subreddit").isNotNull() & F.col("domain").isNotNull())
@@ -76,8 +91,8 @@ def _sql_part(k: str, row: str, column: str) -> str:
 _G = "2 * (" + " + ".join([_sql_part("n", "tt", "rt"), _sql_part("(rt - n)", "al - tt", "rt"), _sql_part("(tt - n)", "tt", "al - rt"), _sql_part("(al - rt - tt + n)", "al - tt", "al - rt")]) + ")"
 SQL_PAIR_ENDS = ", ".join(f"CASE WHEN trim(author_{i}, {_S}) NOT IN ('', '[deleted]', '[removed]', 'AutoModerator') THEN trim(author_{i}, {_S}) END AS {c}" for i, c in ((1, "a"), (2, "b")))
 
-QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p5_found": p5_found, "p5_likelihood": p5_likelihood, "p7_found": p7_found}
-SQL_VECTORS = "v AS (SELECT vec_id, any_value(vec)::DOUBLE[] AS vec FROM comment_vectors WHERE vec IS NOT NULL AND list_dot_product(vec, vec) > 0 GROUP BY vec_id)"
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_likelihood": p5_likelihood, "p7_found": p7_found}
+SQL_VECTORS = "v AS (SELECT vec_id, any_value(vec)::DOUBLE[] AS vec FROM comment_vectors WHERE list_sum(list_transform(vec, lambda x: abs(x))) > 0 GROUP BY vec_id)"
 SQL = {
     "p2_found": f"""WITH {SQL_VECTORS},
 s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.vec, b.vec) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.vec, b.vec) >= {ALIKE}),
