@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as X
+from tallyloom.llm import corpus_queries
 from tallyloom.llm.distinctive import term_distinctiveness
 from tallyloom.llm.near_copies import copy_groups, copy_pairs, near_copies
 from tallyloom.llm.seed_tree import group_matches
@@ -91,7 +92,7 @@ def _sql_part(k: str, row: str, column: str) -> str:
 _G = "2 * (" + " + ".join([_sql_part("n", "tt", "rt"), _sql_part("(rt - n)", "al - tt", "rt"), _sql_part("(tt - n)", "tt", "al - rt"), _sql_part("(al - rt - tt + n)", "al - tt", "al - rt")]) + ")"
 SQL_PAIR_ENDS = ", ".join(f"CASE WHEN trim(author_{i}, {_S}) NOT IN ('', '[deleted]', '[removed]', 'AutoModerator') THEN trim(author_{i}, {_S}) END AS {c}" for i, c in ((1, "a"), (2, "b")))
 
-QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_likelihood": p5_likelihood, "p7_found": p7_found}
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_likelihood": p5_likelihood, "p7_found": p7_found} | corpus_queries.QUERIES
 SQL_VECTORS = "v AS (SELECT vec_id, any_value(vec)::DOUBLE[] AS vec FROM comment_vectors WHERE list_sum(list_transform(vec, lambda x: abs(x))) > 0 GROUP BY vec_id)"
 SQL = {
     "p2_found": f"""WITH {SQL_VECTORS},
