@@ -23,8 +23,9 @@ from tallyloom.session import cut
 STATISTICS = ("word_length", "common_share", "symbol_share", "digit_share", "line_words", "line_ends", "repetition")
 SEGMENT = 600  # characters
 PIECE = 1_000_000  # characters worked on at a time
-PRIOR = 8.0  # words, or lines, of ordinary prose added to a segment, so that a short one isn't judged by chance
+PRIOR = 5.0  # words, or lines, of ordinary prose added to a segment, so that a short one isn't judged by chance
 NGRAM, WINDOW = 8, 400  # a run of NGRAM words is repeated if it came up within the last WINDOW words
+CUT = 20.28  # 0.995 of a chi-squared distribution with as many degrees of freedom as there are statistics
 # Kinds of characters.
 OTHER, LETTER, DIGIT, SPACE, LINE, END, INNER, MARKUP, SYMBOL = range(9)
 _ENDS = ".!?…:"
@@ -237,7 +238,7 @@ def fit(found: DataFrame, names: list[str], rounds: int = 4, inner: float = 16.0
     if not rows[None]["n"]:
         return {}
     models = {}
-    floor = np.array([0.15, 0.03, 0.01, 0.015, 0.25, 0.15, 0.03])  # least standard deviations
+    floor = np.array([0.3, 0.03, 0.01, 0.03, 0.25, 0.15, 0.03])  # least standard deviations
     for name, r in rows.items():
         q = np.array([r[f"q{i}"] for i in range(k)])
         models[name] = (q[:, 1], np.diag(1 / np.maximum((q[:, 2] - q[:, 0]) / 1.349, floor) ** 2))
@@ -271,6 +272,7 @@ def _parts(model: tuple[np.ndarray, np.ndarray]) -> list:
     mean, inverse = model
     k = len(mean)
     off = [F.col("x")[i] - F.lit(float(mean[i])) for i in range(k)]
+    off = [F.least(o, F.lit(0.0)) if s == "common_share" else o for o, s in zip(off, STATISTICS)]  # more common words than usual are no fault
     return [off[i] * sum((off[j] * F.lit(float(inverse[i, j])) for j in range(k)), F.lit(0.0)) for i in range(k)]
 
 
@@ -288,7 +290,7 @@ def distance(models: dict):
     return F.aggregate(contributions(models), F.lit(0.0), lambda a, b: a + b)
 
 
-def text_quality(documents: DataFrame, key: str, text: str, lang: str, common: DataFrame, beyond: float = 60.0) -> DataFrame:
+def text_quality(documents: DataFrame, key: str, text: str, lang: str, common: DataFrame, beyond: float = CUT) -> DataFrame:
     """One row per document with a text that has a character: key, lang, chars, words, mean_word_length, symbol_share,
     digit_share, line_end_share, common_share, line_words, repeated_share, distance (the mean of its segments' distances by
     characters), outlying_share (the part of its characters in segments whose squared distance exceeds `beyond`), and for each
