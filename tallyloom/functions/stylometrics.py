@@ -27,8 +27,8 @@ def letter_count(text: Column | str) -> Column:
 
 
 def ascii_words(text: Column | str) -> Column:
-    """Whole words of a-z in the lower-cased text."""
-    return F.regexp_extract_all(F.lower(col(text)), F.lit(r"(?U)\b[a-z]+\b"), F.lit(0))
+    """Whole words of a-z in the lower-cased text; combining marks end a word."""
+    return F.regexp_extract_all(F.lower(col(text)), F.lit(r"(?<![\p{L}\p{N}_])[a-z]+(?![\p{L}\p{N}_])"), F.lit(0))
 
 
 def _entropy(items: Column) -> Column:

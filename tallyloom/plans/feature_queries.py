@@ -25,7 +25,7 @@ def _s(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 
 def _round(df: DataFrame, digits: int = 5) -> DataFrame:
-    return df.select(*[F.round(c, 0 if c.endswith("_variance") else digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(c, -3 if c.endswith("_variance") else digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def activity_features(spark: SparkSession, d: str) -> DataFrame:
@@ -110,14 +110,14 @@ def _entropy(x: str) -> str:
 def _gap_sql(name: str, source: str) -> str:
     return f"""{name}0 AS (SELECT author, created_utc - lag(created_utc) OVER (PARTITION BY author ORDER BY created_utc) AS g FROM ({source}) WHERE created_utc IS NOT NULL AND created_utc <> 0),
 {name}1 AS (SELECT author, avg(g) AS mean_, min(g) AS min_, stddev_pop(g) AS std_, var_samp(g) AS var_, list_sort(list(g)) AS x FROM {name}0 WHERE g IS NOT NULL GROUP BY author),
-{name} AS (SELECT author, round(mean_, 3) AS {name}_mean_interval_seconds, round(min_, 3) AS {name}_min_interval_seconds, round(std_, 3) AS {name}_std_interval_seconds, round(var_, 0) AS {name}_interval_variance, round({_entropy('x')}, 3) AS {name}_interval_entropy FROM {name}1)"""
+{name} AS (SELECT author, round(mean_, 3) AS {name}_mean_interval_seconds, round(min_, 3) AS {name}_min_interval_seconds, round(std_, 3) AS {name}_std_interval_seconds, round(var_, -3) AS {name}_interval_variance, round({_entropy('x')}, 3) AS {name}_interval_entropy FROM {name}1)"""
 
 
 def _reply_sql(source: str) -> str:
     return f"""WITH {_CS}, r AS ({source}),
 t AS (SELECT r.author, CASE WHEN r.created_utc >= c0.created_utc THEN r.created_utc - c0.created_utc END AS t FROM r LEFT JOIN c0 ON c0.id = r.parent),
 g AS (SELECT author, avg(t) AS m, min(t) AS lo, stddev_pop(t) AS sd, var_samp(t) AS v, list_sort(list(t) FILTER (t IS NOT NULL)) AS x, count(t) / count(*) AS cov FROM t GROUP BY author)
-SELECT author, round(m, 3) AS mean_reply_time_seconds, round(lo, 3) AS min_reply_time_seconds, round(sd, 3) AS std_reply_time_seconds, round(v, 0) AS reply_time_variance, round(cov, 3) AS reply_time_coverage, round({_entropy('x')}, 3) AS reply_time_entropy FROM g"""
+SELECT author, round(m, 3) AS mean_reply_time_seconds, round(lo, 3) AS min_reply_time_seconds, round(sd, 3) AS std_reply_time_seconds, round(v, -3) AS reply_time_variance, round(cov, 3) AS reply_time_coverage, round({_entropy('x')}, 3) AS reply_time_entropy FROM g"""
 
 
 _REPLIES = "SELECT author, regexp_replace(parent_id, '^t1_', '') AS parent, created_utc FROM c WHERE starts_with(parent_id, 't1_') AND created_utc IS NOT NULL"
