@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from tallyloom.session import partitions
 
 
+TASK = "_task"  # the column that rows are placed by; a column of this name in the input is replaced
+
+
 @dataclass
 class Placement:
     """large: key -> tasks of its shards, at most `tasks` keys. small: task of each hash bucket."""
@@ -86,21 +89,21 @@ def placement(loads: DataFrame, tasks: int | None = None, split: float = 0.5, bu
 
 
 def balanced(rows: DataFrame, key: str, shard_by: str, plan: Placement, matching: DataFrame | None = None, how: str = "inner") -> DataFrame:
-    """rows placed by plan, with the column task. If a matching side is given (its key column named alike), it is sent to
+    """rows placed by plan, with the column TASK. If a matching side is given (its key column named alike), it is sent to
     the tasks of its keys' shards and joined there; columns of it that rows has as well get the suffix _right. how is
     inner or left. Rows with a null key match nothing."""
-    here = rows.withColumn("task", F.coalesce(plan.task(F.col(key), F.col(shard_by)), F.lit(0)))
+    here = rows.withColumn(TASK, F.coalesce(plan.task(F.col(key), F.col(shard_by)), F.lit(0)))
     if matching is None:
-        return here.repartitionById(plan.tasks, "task")
+        return here.repartitionById(plan.tasks, TASK)
     names = {c: f"{c}_right" if c in here.columns and c != key else c for c in matching.columns}
     there = matching.select(*[F.col(c).alias(n) for c, n in names.items()])
-    there = there.withColumn("task", F.explode(plan.tasks_of(F.col(key))))
-    return here.repartitionById(plan.tasks, "task").join(there, ["task", key], how)
+    there = there.withColumn(TASK, F.explode(plan.tasks_of(F.col(key))))
+    return here.repartitionById(plan.tasks, TASK).join(there, [TASK, key], how)
 
 
 def per_key(rows: DataFrame, key: str, record: str, plan: Placement) -> DataFrame:
     """(key, records): the number of distinct records of each key. A large key's shards hold different records, as rows are
     spread by record, so the shards' numbers add up."""
     placed = balanced(rows.where(F.col(key).isNotNull() & F.col(record).isNotNull()), key, record, plan)
-    one = placed.groupBy("task", key, record).agg(F.lit(1).alias("one"))
-    return one.groupBy("task", key).agg(F.count(F.lit(1)).alias("records")).groupBy(key).agg(F.sum("records").alias("records"))
+    one = placed.groupBy(TASK, key, record).agg(F.lit(1).alias("one"))
+    return one.groupBy(TASK, key).agg(F.count(F.lit(1)).alias("records")).groupBy(key).agg(F.sum("records").alias("records"))

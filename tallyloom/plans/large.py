@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as X
-from tallyloom.operators.balanced import balanced, per_key, placement
+from tallyloom.operators.balanced import TASK, balanced, per_key, placement
 from tallyloom.operators.entity_features import entity_features, event_cells, feature_cells
 from tallyloom.operators.records import one_per_id
 from tallyloom.operators.sessions import sessions
@@ -75,7 +75,7 @@ def p6_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = placement(rows.groupBy(F.col("author").alias("key")).agg(F.count(F.lit(1)).alias("load")))
     side = comment_events(spark, sf_dir).groupBy("author").agg(F.count(F.lit(1)).alias("n_comments"))
     joined = balanced(rows, "author", "record", plan, side, "left")
-    return joined.groupBy("task", "author", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("n_comments").alias("m")).groupBy("author", "kind").agg(F.sum("n").alias("n_records"), F.coalesce(F.max("m"), F.lit(0)).alias("n_comments"))
+    return joined.groupBy(TASK, "author", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("n_comments").alias("m")).groupBy("author", "kind").agg(F.sum("n").alias("n_records"), F.coalesce(F.max("m"), F.lit(0)).alias("n_comments"))
 
 
 _SPACES = "'" + X.SPACES + "'"
