@@ -13,8 +13,10 @@ _FORMS = {"author": lambda: X.author("author"), "subreddit": lambda: X.community
 
 
 def records(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """One row per id of comments or submissions, with the columns asked for in normal form."""
-    return one_per_id(table(spark, sf_dir, name), **{c: _FORMS[c]() if c in _FORMS else F.col(c) for c in columns})
+    """One row per id of comments or submissions, with the columns asked for in normal form: of copies that of the earliest
+    period and least score, so that the choice doesn't depend on the columns."""
+    kept = {c: _FORMS[c]() if c in _FORMS else F.col(c) for c in columns}
+    return one_per_id(table(spark, sf_dir, name), _period=F.col("source_period"), _score=F.col("score"), **kept).drop("_period", "_score")
 
 
 def comments(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -42,7 +44,7 @@ _SQL = {
 
 
 def sql_records(name: str, view: str, *columns: str) -> str:
-    """A WITH item of the same rows: of copies of a record the one that comes first by its columns, nulls last."""
+    """A WITH item of the same rows: of copies of a record the first by period, score and columns, nulls last."""
     exprs = ", ".join(f"{_SQL.get(c, c)} AS {c}_" for c in columns)
-    order = ", ".join(f"{c}_ NULLS LAST" for c in columns)
-    return f"{view} AS (SELECT id, {', '.join(f'{c}_ AS {c}' for c in columns)} FROM (SELECT id, {exprs} FROM {name} WHERE id IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY {order}) = 1)"
+    order = ", ".join(["source_period NULLS LAST", "score NULLS LAST", *(f"{c}_ NULLS LAST" for c in columns)])
+    return f"{view} AS (SELECT id, {', '.join(f'{c}_ AS {c}' for c in columns)} FROM (SELECT id, source_period, score, {exprs} FROM {name} WHERE id IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY {order}) = 1)"

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "bigint": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType()}
+
+
+def _struct(text: str, **nested: T.DataType) -> T.StructType:
+    """Columns from "name type, ..."; made without a session, so that this module can be imported before there is one."""
+    return T.StructType([T.StructField(n, nested.get(n) or _TYPES[t]) for n, t in (c.split() for c in text.split(", "))])
 
 
 COMMENT = _struct(
@@ -19,10 +23,18 @@ SUBMISSION = _struct(
     "is_self boolean, over_18 boolean, spoiler boolean, locked boolean, banned_at_utc double"
 )
 POST = T.StructType(list(COMMENT.fields) + [f for f in SUBMISSION.fields if f.name not in COMMENT.names])
-COMMUNITY = _struct("display_name string, id string, _meta struct<num_posts: bigint, earliest_post: double, num_comments: bigint>, description string, public_description string, subscribers bigint, active_user_count bigint, over18 boolean, created double, lang string")
+COMMUNITY = _struct(
+    "display_name string, id string, _meta struct, description string, public_description string, subscribers bigint, active_user_count bigint, over18 boolean, created double, lang string",
+    _meta=_struct("num_posts bigint, earliest_post double, num_comments bigint"),
+)
 LABELED_PAIR = _struct("text_a string, text_b string, label int, pair_id string, note string")
 RANK = _struct("rank int, bot_name string, score double, good_votes bigint, bad_votes bigint, comment_karma bigint, link_karma bigint")
+_MEDIA = _struct("oembed struct", oembed=_struct("url string, thumbnail_url string"))
+_IMAGE = _struct("source struct", source=_struct("url string"))
 EXTRAS = _struct(
-    "preview struct<images: array<struct<source: struct<url: string>>>>, media struct<oembed: struct<url: string, thumbnail_url: string>>, secure_media struct<oembed: struct<url: string, thumbnail_url: string>>, "
-    "media_metadata map<string, struct<s: struct<u: string, url: string>>>"
+    "preview struct, media struct, secure_media struct, media_metadata map",
+    preview=_struct("images array", images=T.ArrayType(_IMAGE)),
+    media=_MEDIA,
+    secure_media=_MEDIA,
+    media_metadata=T.MapType(T.StringType(), _struct("s struct", s=_struct("u string, url string"))),
 )
