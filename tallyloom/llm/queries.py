@@ -23,7 +23,7 @@ TOP_DOMAINS = 3
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = nearest(table(spark, sf_dir, "comment_vectors"), "vec_id", "vec", NEIGHBOURS, ALIKE, factor=0.15, shard_factor=0.06)
+    best = nearest(table(spark, sf_dir, "comment_vectors"), "vec_id", "vec", NEIGHBOURS, ALIKE, factor=0.15, shard_factor=0.07)
     return best.select(F.least("vec_id", "neighbour").alias("vec_id_1"), F.greatest("vec_id", "neighbour").alias("vec_id_2")).distinct()
 
 
@@ -99,6 +99,12 @@ SQL = {
 s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.vec, b.vec) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.vec, b.vec) >= {ALIKE}),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s)
 SELECT DISTINCT least(a, b) AS vec_id_1, greatest(a, b) AS vec_id_2 FROM r WHERE k <= {NEIGHBOURS}""",
+    "p3_found": """WITH t AS (SELECT DISTINCT 't1_' || id AS name, body AS text FROM comments WHERE id IS NOT NULL AND body IS NOT NULL UNION ALL SELECT DISTINCT 't3_' || id, selftext FROM submissions WHERE id IS NOT NULL AND selftext IS NOT NULL),
+w AS (SELECT name, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM t),
+g AS (SELECT DISTINCT name, unnest([hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) for i in range(1, len(w) - 1)]) AS g FROM w WHERE len(w) >= 10),
+n AS (SELECT name, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT a.name AS name_1, b.name AS name_2, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.name < b.name GROUP BY 1, 2)
+SELECT name_1, name_2 FROM c JOIN n x ON x.name = name_1 JOIN n y ON y.name = name_2 WHERE c >= 0.5 * (x.n + y.n - c)""",
     "p5_found": f"WITH {SQL_LINKS} SELECT subreddit, domain FROM w WHERE rt >= {MIN_LINKS} QUALIFY row_number() OVER (PARTITION BY subreddit ORDER BY weight DESC, domain) <= {TOP_DOMAINS}",
     "p5_likelihood": f"WITH {SQL_LINKS} SELECT subreddit, domain, n::BIGINT AS n, round(CASE WHEN n < tt * rt / al THEN -1 ELSE 1 END * greatest({_G}, 0), 6) AS llr, weight FROM w",
     "p7_found": f"""WITH RECURSIVE p AS (SELECT {SQL_PAIR_ENDS} FROM suspicious_pairs),

@@ -162,7 +162,7 @@ def nearest(
     factor: float = 0.15,
     shard_factor: float | None = None,
     queries: Column | None = None,
-    shard_rows: int = 8192,
+    shard_rows: int = 32768,
     leaf_rows: int = 64,
     sample_rows: int = 20_000,
     seed: int = 1,
