@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.session import cut
+
 
 def _part(k: Column, expected: Column) -> Column:
     return F.when(k > 0, k * F.log(k / expected)).otherwise(F.lit(0.0))
@@ -24,7 +26,7 @@ def term_distinctiveness(rows: DataFrame, record: str, term: str) -> DataFrame:
     totals per record and per term are joined on their keys; the grand totals are a single row.
     """
     cells = rows.select(F.col(record).alias("record"), F.col(term).alias("term")).where(F.col("record").isNotNull() & F.col("term").isNotNull())
-    cells = cells.groupBy("record", "term").agg(F.count(F.lit(1)).alias("n"))
+    cells = cut(cells.groupBy("record", "term").agg(F.count(F.lit(1)).alias("n")))  # read three times below
     by_record = cells.groupBy("record").agg(F.sum("n").alias("record_total"))
     by_term = cells.groupBy("term").agg(F.sum("n").alias("term_total"), F.count(F.lit(1)).alias("records_with_term"))
     whole = by_record.agg(F.coalesce(F.sum("record_total"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("records"))
