@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from tallyloom.session import cut
 
 STATISTICS = ("word_length", "common_share", "symbol_share", "digit_share", "line_words", "line_ends", "repetition")
+NO_FAULT_ABOVE = ("common_share", "line_words")  # more of it than in ordinary prose makes no text junk
+NO_FAULT_BELOW = ("symbol_share", "digit_share", "repetition")
 SEGMENT = 600  # characters
 PIECE = 1_000_000  # characters worked on at a time
-PRIOR = 5.0  # words, or lines, of ordinary prose added to a segment, so that a short one isn't judged by chance
+PRIOR = 4.0  # words, or lines, of ordinary prose added to a segment, so that a short one isn't judged by chance
 NGRAM, WINDOW = 8, 400  # a run of NGRAM words is repeated if it came up within the last WINDOW words
 CUT = 20.28  # 0.995 of a chi-squared distribution with as many degrees of freedom as there are statistics
 # Kinds of characters.
@@ -272,7 +274,7 @@ def _parts(model: tuple[np.ndarray, np.ndarray]) -> list:
     mean, inverse = model
     k = len(mean)
     off = [F.col("x")[i] - F.lit(float(mean[i])) for i in range(k)]
-    off = [F.least(o, F.lit(0.0)) if s == "common_share" else o for o, s in zip(off, STATISTICS)]  # more common words than usual are no fault
+    off = [F.least(o, F.lit(0.0)) if s in NO_FAULT_ABOVE else F.greatest(o, F.lit(0.0)) if s in NO_FAULT_BELOW else o for o, s in zip(off, STATISTICS)]
     return [off[i] * sum((off[j] * F.lit(float(inverse[i, j])) for j in range(k)), F.lit(0.0)) for i in range(k)]
 
 
