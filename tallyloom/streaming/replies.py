@@ -38,15 +38,16 @@ def stream_sessions(comments: DataFrame, gap: int = 1800, lateness: str = "1 day
     return by.agg(F.min("created_utc").alias("start_utc"), F.max("created_utc").alias("end_utc"), F.count(F.lit(1)).alias("n")).select("author", F.floor("start_utc").alias("start_utc"), F.floor("end_utc").alias("end_utc"), "n")
 
 
-def stream_adjacent(comments: DataFrame, seconds: int) -> DataFrame:
+def stream_adjacent(comments: DataFrame, seconds: int, lateness: str = "10 minutes", idle: int = 3600) -> DataFrame:
     """(thread, previous_author, author, delta_seconds): within a thread each comment that follows another author's within seconds,
-    for streams whose comments come in order of time; the state is a thread's last comment, dropped after an idle hour."""
+    for streams whose comments come in order of time; the state is a thread's last comment, dropped once the watermark is
+    idle seconds past it."""
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
         if state.hasTimedOut:
             state.remove()
             return
+        last = state.get if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["created_utc", "id"])
         out = []
         for author, t in zip(rows["author"], rows["created_utc"]):
@@ -54,8 +55,8 @@ def stream_adjacent(comments: DataFrame, seconds: int) -> DataFrame:
                 out.append((key[0], last[0], author, int(t - last[1])))
             last = (author, float(t))
         state.update(last)
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(max(int((last[1] + idle) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["thread", "previous_author", "author", "delta_seconds"])
 
-    rows = comments.where("created_utc > 0 AND thread IS NOT NULL AND author IS NOT NULL").select("thread", "author", "created_utc", "id")
-    return rows.groupBy("thread").applyInPandasWithState(follow, "thread string, previous_author string, author string, delta_seconds int", "author string, created_utc double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = with_event_time(comments, lateness).where("thread IS NOT NULL AND author IS NOT NULL").select("thread", "author", "created_utc", "id", "ts")
+    return rows.groupBy("thread").applyInPandasWithState(follow, "thread string, previous_author string, author string, delta_seconds int", "author string, created_utc double", "append", GroupStateTimeout.EventTimeTimeout)
