@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import stylometrics as Y
 from tallyloom.functions import urls as U
 from tallyloom.functions.text import NO_TEXT
+from tallyloom.operators.records import numbered
 
 DAY = 86400.0
 
@@ -150,13 +151,7 @@ def domain_coverage(counts: DataFrame, target: float = 0.9) -> DataFrame:
     """(domain, n, rank, coverage, needed): domains by count, the share of all that they and those before cover, and whether a
     domain is among the least number of them that covers target. counts: (domain, n), one row per domain.
 
-    Ranks and running sums come from counts of equal n (as many as there are different counts), then within one n by the
-    domain's order, so no single task sorts all domains."""
-    levels = counts.groupBy("n").agg(F.count(F.lit(1)).alias("m"))
-    w = W.partitionBy(F.lit(0)).orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    levels = levels.select("n", (F.sum("m").over(w) - F.col("m")).alias("before"), (F.sum(F.col("m") * F.col("n")).over(w) - F.col("m") * F.col("n")).alias("mass"))
+    Ranks and running sums come from ranges of the order, so no single task sorts all domains."""
     total = counts.agg(F.sum("n").alias("total"))
-    inside = F.row_number().over(W.partitionBy("n").orderBy("domain"))
-    rows = counts.join(levels, "n").crossJoin(F.broadcast(total)).withColumn("k", inside)  # total is one row
-    rows = rows.select("domain", "n", (F.col("before") + F.col("k")).cast("long").alias("rank"), (F.col("mass") + F.col("k") * F.col("n")).alias("upto"), "total")
-    return rows.select("domain", "n", "rank", (F.col("upto") / F.col("total")).alias("coverage"), ((F.col("upto") - F.col("n")) / F.col("total") < target).alias("needed"))
+    rows = numbered(counts.select("domain", "n"), [F.desc("n"), F.col("domain")], "n").crossJoin(F.broadcast(total))  # total is one row
+    return rows.select("domain", "n", F.col("place").cast("long").alias("rank"), (F.col("upto") / F.col("total")).alias("coverage"), ((F.col("upto") - F.col("n")) / F.col("total") < target).alias("needed"))

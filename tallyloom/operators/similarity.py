@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.operators.components import components
+from tallyloom.operators.records import numbered
 from tallyloom.session import cut
 
 
@@ -191,7 +192,7 @@ def density_clusters(ids: DataFrame, pairs: DataFrame, min_samples: int) -> Data
     core_pairs = pairs.join(cores.withColumnRenamed("id", "a"), "a", "left_semi").join(cores.withColumnRenamed("id", "b"), "b", "left_semi")
     linked = components(core_pairs, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("root"))
     roots = cores.join(linked, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-    order = roots.select("root").distinct().withColumn("label", (F.row_number().over(W.partitionBy(F.lit(0)).orderBy("root")) - 1).cast("int"))
+    order = numbered(roots.select("root").distinct(), [F.col("root")]).select("root", (F.col("place") - 1).cast("int").alias("label"))
     labelled = cut(roots.join(order, "root").select("id", "label"))
     touch = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     border = touch.join(labelled.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyloom.operators.records import numbered
+
 THRESHOLDS = tuple(round(0.1 + 0.05 * i, 2) for i in range(17))
 
 
@@ -98,8 +100,8 @@ def best_threshold(sweep: DataFrame, least_precision: float = 0.9, otherwise: fl
 def _levels(scored: DataFrame) -> DataFrame:
     """(score, pos, neg, tp, fp): per different score its numbers, and those at or above it."""
     by = scored.where("score IS NOT NULL AND y IS NOT NULL").groupBy("score").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    w = W.partitionBy(F.lit(0)).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return by.withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum("neg").over(w))
+    down = numbered(by, [F.desc("score")], "pos").withColumnRenamed("upto", "tp").drop("place")
+    return numbered(down, [F.desc("score")], "neg").withColumnRenamed("upto", "fp").drop("place")
 
 
 def curve_points(scored: DataFrame) -> DataFrame:
@@ -136,8 +138,8 @@ def permutation_importance(rows: DataFrame, columns: list[str], model, repeats:
     for c in columns:
         lost = 0.0
         for r in range(repeats):
-            place = rows.withColumn("i_", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*_order("author", seed))))
-            drawn = rows.select("author", F.col(c).alias("v_")).withColumn("i_", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*_order("author", seed + r + 1)))).select("i_", "v_")
+            place = numbered(rows, _order("author", seed)).withColumnRenamed("place", "i_")
+            drawn = numbered(rows.select("author", F.col(c).alias("v_")), _order("author", seed + r + 1)).select(F.col("place").alias("i_"), "v_")
             lost += base - area(place.join(drawn, "i_").drop(c).withColumnRenamed("v_", c).drop("i_"))
         out.append((c, lost / repeats))
     return rows.sparkSession.createDataFrame(out, "feature string, importance double")

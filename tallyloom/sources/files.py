@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions.text import NO_TEXT, collapse, strip, word_count
+from tallyloom.operators.records import numbered
 from tallyloom.schema import POST
 
 
@@ -140,8 +141,7 @@ def tail_numbers(spark: SparkSession, path: str) -> DataFrame:
 
 def zip_by_place(left: DataFrame, right: DataFrame, order: str) -> DataFrame:
     """Rows of both tables with the same place in their order, as far as the shorter goes."""
-    place = lambda df, name: df.withColumn(name, F.row_number().over(W.partitionBy(F.lit(0)).orderBy(order)))
-    return place(left, "place").join(place(right, "place").drop(order), "place")
+    return numbered(left, [F.col(order)]).join(numbered(right, [F.col(order)]).drop(order), "place")
 
 
 def community_of_file(path: Column) -> Column:
