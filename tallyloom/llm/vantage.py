@@ -171,8 +171,9 @@ def nearest(
     of equal cosines the smaller key comes first. queries: only rows for which it is true get neighbours (all rows are
     searched). key must be a whole number.
 
-    Null, all-zero and non-finite vectors, and those of another length than most of the sample's, take no part. Rows with
-    one key are one record (of different vectors, the one with the least hash). A vector given under more than k + 1 keys is
+    Null, all-zero and non-finite vectors, and those of another length than most, take no part, however many keys carry them
+    (a vector counts for at most k + 1 keys in the choice of the length). Rows with one key are one record (of different
+    vectors that take part, the one with the least hash). A vector given under more than k + 1 keys is
     indexed under its k + 1 smallest; the others can have no nearer neighbour than those and get them, so that a group
     of copies, however large, costs its own size. The sample of at most about sample_rows rows only decides where borders
     run; every row is indexed. An empty table gives no rows.
@@ -183,7 +184,12 @@ def nearest(
     radius = math.sqrt(max(2.0 - 2.0 * min_similarity, 0.0))
     flag = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<float>").alias("vec"), flag.alias("asks")).where("id IS NOT NULL AND vec IS NOT NULL")
-    hashed = rows.withColumn("h", F.xxhash64("vec"))
+    square = F.aggregate(F.transform("vec", lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x * x)
+    hashed = rows.where((square > 0) & (square < math.inf)).withColumn("h", F.xxhash64("vec"))  # NaN is above all numbers here
+    each = hashed.groupBy("h", F.size("vec").alias("dim")).agg(F.least(F.count(F.lit(1)), F.lit(k + 1)).alias("n"))
+    common = each.groupBy("dim").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "dim").first()
+    dim = common["dim"] if common else 0
+    hashed = hashed.where(F.size("vec") == dim)
     ids = cut(hashed.groupBy("id").agg(F.min("h").alias("h"), F.max("h").alias("h2"), F.max("asks").alias("asks")))
     total, mixed = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("h") != F.col("h2")).cast("long")), F.lit(0))).first()
     shape = "id long, neighbour long, similarity double"
@@ -204,14 +210,8 @@ def nearest(
     # the sample that decides the borders
     spread = max(1, total // sample_rows)
     sample = search_rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(spread)) == 0).select("vec").limit(2 * sample_rows).toArrow()
-    lengths = pc.list_value_length(sample.column("vec")).to_numpy()
-    if not len(lengths):
+    if not sample.num_rows:
         sample = search_rows.select("vec").limit(sample_rows).toArrow()
-        lengths = pc.list_value_length(sample.column("vec")).to_numpy()
-    lengths = lengths[lengths > 0]
-    if not len(lengths):
-        return vectors.sparkSession.createDataFrame([], shape).withColumnRenamed("id", key)
-    dim = int(np.bincount(lengths.astype(np.int64)).argmax())
     _, x = _usable(sample.combine_chunks().to_batches()[0], dim)
     depth = max(0, math.ceil(math.log2(max(1, total / shard_rows)))) if len(x) else 0
     top = grow(_unit(x), depth, np.random.default_rng(seed))

@@ -64,6 +64,16 @@ def test_dirty_rows_queries_and_copies(spark):
     assert some.count() == 3 * len(asked)
 
 
+def test_many_equal_bad_vectors(spark):
+    """More ids than k + 1 with one and the same vector that takes no part: none of them gets or is a neighbour."""
+    ids, x = clustered(60, 8, 3)
+    kinds = [[0.0] * 8, [], [1.0, 2.0], [float("nan")] * 8, [float("inf")] * 8, [None] * 8]
+    bad = [(1000 * (j + 1) + i, v, 1, True) for j, v in enumerate(kinds) for i in range(40 if j != 2 else 100)]
+    both = [(int(ids[0]), [0.0] * 8, 1, True), (int(ids[1]), [3.0], 1, True)]
+    got = neighbours(nearest(frame(spark, ids, x, bad + both), "vec_id", "vec", 10, 0.5, factor=1.0))
+    assert got == {i: n for i, n in brute(ids, x.astype(np.float64), 10, 0.5).items() if n}
+
+
 def test_nothing(spark):
     for rows in ([], [(1, None)], [(1, [0.0])]):
         assert nearest(spark.createDataFrame(rows, "vec_id long, vec array<float>"), "vec_id", "vec").count() == 0
