@@ -17,12 +17,13 @@ from tallyloom.operators.records import numbered
 from tallyloom.session import cut
 
 
-def unit(vectors: DataFrame, key: str, vec: str) -> DataFrame:
-    """(id, v): one row per key with a vector of length one; null, empty and all-zero vectors are left out."""
+def unit(vectors: DataFrame, key: str, vec: str, scaled: bool = True) -> DataFrame:
+    """(id, v): one row per key with a vector of length one (scaled=False: as given, in single precision); null, empty and
+    all-zero vectors are left out."""
     norm = F.sqrt(F.aggregate(F.col("v"), F.lit(0.0), lambda s, x: s + x * x))
     rows = vectors.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     rows = rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("norm", norm).where("norm > 0")
-    return rows.select("id", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
+    return rows.select("id", F.transform("v", lambda x: x / F.col("norm")).alias("v") if scaled else F.col("v").cast("array<float>").alias("v"))
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -139,6 +140,57 @@ def bucket_pairs(vectors: DataFrame, signs: DataFrame, threshold: float, top_k:
     return met.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
+def probed_pairs(vectors: DataFrame, signs: DataFrame, bits: int, threshold: float, top_k: int | None = None, block: int = 4096) -> DataFrame:
+    """bucket_pairs that looks into the neighbouring buckets as well: pairs of at least the threshold whose signatures of some
+    table differ in at most one of the `bits` bits; with top_k only those among the top_k of one of the two within a table.
+    Vectors may have any length but zero, as single precision halves what is shuffled and loses nothing of single input.
+
+    Such signatures agree in their upper or in their lower half, so every vector goes to two groups of each table, where
+    buckets meet as matrix products. Groups larger than `block` are met in parts, each part with each other."""
+    low = bits // 2
+    kind = vectors.schema["id"].dataType.simpleString()
+    upper, lower = F.shiftright("signature", low), F.col("signature").bitwiseAND((1 << low) - 1)
+    halves = F.array(F.struct(F.lit(0).alias("half"), upper.alias("same"), lower.alias("rest")), F.struct(F.lit(1).alias("half"), lower.alias("same"), upper.alias("rest")))
+    keyed = signs.select("id", "table", F.explode(halves).alias("h")).select("id", "table", "h.*")
+    sizes = keyed.groupBy("table", "half", "same").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    rows = keyed.join(sizes, ["table", "half", "same"]).join(vectors, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("table", "half", "same", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rest", "id", "v")
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        table, half, _, p, q = (k.as_py() for k in key)
+        own, rest = t.column("own").to_numpy(), t.column("rest").to_numpy()
+        x, ids = _matrix(t, "v").astype(np.float64), t.column("id").combine_chunks()
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        one = np.flatnonzero(own == p)
+        two = one if p == q else np.flatnonzero(own == q)
+        buckets = {int(r): two[rest[two] == r] for r in np.unique(rest[two])}
+        left, right, sims = [], [], []
+        for r in np.unique(rest[one]):
+            near = [int(r) ^ (1 << i) for i in range(bits - low if half else low)]
+            near = [n for n in near if n in buckets and (p != q or n > r)]  # within one part each two buckets meet once
+            mine = one[rest[one] == r]
+            for n in near if half else [int(r), *near]:
+                for lo in range(0, len(mine) if n in buckets else 0, 512):
+                    s = x[mine[lo : lo + 512]] @ x[buckets[n]].T
+                    i, j = np.nonzero(s >= threshold)
+                    left.append(mine[lo + i])
+                    right.append(buckets[n][j])
+                    sims.append(s[i, j])
+        left, right, sims = (np.concatenate(z) if z else np.zeros(0, d) for z, d in ((left, int), (right, int), (sims, float)))
+        once = (rest[left] != rest[right]) | (left < right) | (p != q)
+        a, b = ids.take(pa.array(left[once], pa.int64())), ids.take(pa.array(right[once], pa.int64()))
+        first = pc.less(a, b)
+        return pa.table({"table": pa.array(np.full(len(a), table, np.int32)), "a": pc.if_else(first, a, b), "b": pc.if_else(first, b, a), "similarity": pa.array(sims[once], pa.float64())})
+
+    met = rows.groupBy("table", "half", "same", "p", "q").applyInArrow(run, f"table int, a {kind}, b {kind}, similarity double")
+    if top_k:
+        ends = F.explode(F.array(F.struct(F.col("a").alias("one"), F.col("b").alias("two")), F.struct(F.col("b").alias("one"), F.col("a").alias("two")))).alias("e")
+        w = W.partitionBy("table", "e.one").orderBy(F.desc("similarity"), "e.two")
+        met = met.select("table", "a", "b", "similarity", ends).withColumn("k", F.row_number().over(w)).where(F.col("k") <= top_k)
+    return met.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+
+
 def hamming_pairs(vectors: DataFrame, signs: DataFrame, threshold: float, candidates: int, ids: Column | None = None) -> DataFrame:
     """(query, id, similarity): for each query row the `candidates` rows of nearest signature (of one table) by differing bits,
     rescored by cosine, of which those of at least the threshold stay. Signatures repeat, so queries meet the table of

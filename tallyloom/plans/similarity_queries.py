@@ -14,6 +14,7 @@ from tallyloom.session import cut, table
 
 THRESHOLD, EMBEDDING_THRESHOLD = 0.85, 0.3
 BITS, TABLES, DIM = 12, 4, 80
+TOP_K = 40
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -44,12 +45,12 @@ def sampled_quantile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lsh(spark: SparkSession, d: str, top_k: int | None) -> DataFrame:
-    v = cut(_vectors(spark, d))
-    return V.bucket_pairs(v, V.signatures(v, DIM, BITS, TABLES), THRESHOLD, top_k)
+    v = cut(V.unit(table(spark, d, "comment_vectors"), "vec_id", "vec", scaled=False))
+    return V.probed_pairs(v, V.signatures(v, DIM, BITS, TABLES), BITS, THRESHOLD, top_k)
 
 
 def lsh_topk_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _lsh(spark, d, 40)
+    return _lsh(spark, d, TOP_K)
 
 
 def lsh_range_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -67,14 +68,18 @@ def hamming_rescored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lsh_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Recall and precision of bucketed search against the exact one, over a grid of bits and tables."""
+    """Recall and precision of bucketed search against the exact one, over a grid of bits and tables, and of the searches with
+    neighbouring buckets (flips = 1) that lsh_range_pairs and, with top_k, lsh_topk_pairs make."""
     v = cut(_vectors(spark, d))
     exact = cut(V.range_pairs(v, THRESHOLD))
     out = None
     for bits in (8, 16):
         for tables in (1, 4):
-            row = V.recall_precision(exact, V.bucket_pairs(v, V.signatures(v, DIM, bits, tables), THRESHOLD)).select(F.lit(bits).alias("bits"), F.lit(tables).alias("tables"), "*")
+            row = V.recall_precision(exact, V.bucket_pairs(v, V.signatures(v, DIM, bits, tables), THRESHOLD)).select(F.lit(bits).alias("bits"), F.lit(tables).alias("tables"), F.lit(0).alias("flips"), F.lit(None).cast("int").alias("top_k"), "*")
             out = row if out is None else out.union(row)
+    for top_k in (None, TOP_K):
+        row = V.recall_precision(exact, _lsh(spark, d, top_k)).select(F.lit(BITS).alias("bits"), F.lit(TABLES).alias("tables"), F.lit(1).alias("flips"), F.lit(top_k).cast("int").alias("top_k"), "*")
+        out = out.union(row)
     return out
 
 

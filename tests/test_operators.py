@@ -127,6 +127,31 @@ def test_dense_search(spark):
     assert 0.0 < V.sampled_threshold(df, 2000, 0.99) <= 1.0
 
 
+def test_neighbouring_buckets(spark):
+    """Exactly the pairs whose signatures differ in at most one bit of some table, in one part and in several."""
+    x = vectors()
+    df = V.unit(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "k long, e array<double>"), "k", "e")
+    s = x @ x.T
+    signs = V.signatures(df, 10, 7, 2)
+    by = {(r["table"], r["id"]): r["signature"] for r in signs.collect()}
+    want = {(a, b) for a in range(80) for b in range(a + 1, 80) if s[a, b] >= 0.5 and any((by[t, a] ^ by[t, b]).bit_count() <= 1 for t in range(2))}
+    for block in (4096, 5):
+        got = V.probed_pairs(df, signs, 7, 0.5, block=block).collect()
+        assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want
+        assert all(math.isclose(r["similarity"], s[r["a"], r["b"]]) for r in got)
+    top = {(r["a"], r["b"]) for r in V.probed_pairs(df, signs, 7, 0.5, top_k=1).collect()}
+    assert top < want and {i for p in top for i in p} == {i for p in want for i in p}
+
+
+def test_registered_search_finds_nine_tenths(spark):
+    from tallyloom.plans import similarity_queries as Q
+
+    rows = {(r["flips"], r["top_k"]): r for r in Q.lsh_recall(spark, "/root/testdata/sf0.01").where("bits = 12 AND tables = 4").collect()}
+    assert min(rows[1, None]["recall"], rows[1, 40]["recall"]) >= 0.9 and rows[1, None]["precision"] == 1.0
+    pairs = Q.lsh_range_pairs(spark, "/root/testdata/sf0.01")
+    assert pairs.count() == rows[1, None]["n_found"]
+
+
 def test_density_clusters(spark):
     ids = spark.range(12).withColumnRenamed("id", "id")
     pairs = spark.createDataFrame([(0, 1), (1, 2), (0, 2), (2, 3), (5, 6), (6, 7), (5, 7), (7, 8), (3, 8), (9, 10)], "a long, b long")
