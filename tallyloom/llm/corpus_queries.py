@@ -40,13 +40,13 @@ def p8_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filling(p8_containers(spark, sf_dir))
 
 
-def _mixed(spark: SparkSession, sf_dir: str, total: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, sf_dir: str, total: int | None = None, stretch: float = 0.0) -> tuple[DataFrame, DataFrame]:
     kind = F.when(F.col("source").endswith("_board"), "boards").otherwise("other")
     texts = table(spark, sf_dir, "documents").select("doc_id", source_name().alias("source"), language().alias("lang"), text_of().alias("text")).where("text IS NOT NULL AND source IS NOT NULL")
     goals = table(spark, sf_dir, "mix_targets").withColumn("source", source_name())
     wanted = texts.join(F.broadcast(goals.select("source").distinct()), "source", "left_semi")  # mix_targets never grows
     sized = with_tokens(wanted.select("doc_id", "source", kind.alias("domain"), "lang", F.md5("text").alias("hash"), "text"), "text")
-    return mixture(sized, goals, "doc_id", "source", ("domain", "lang"), "n_tokens", "hash", total)
+    return mixture(sized, goals, "doc_id", "source", ("domain", "lang"), "n_tokens", "hash", total, stretch=stretch)
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +58,9 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_stretched_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shares of a mixture of ten million tokens, more than small sources can give their part of."""
-    return _mixed(spark, sf_dir, 10_000_000)[1]
+    """The shares of a mixture of ten million tokens, and of ten times the greatest total at which every source gets its share
+    where that is more, so that small sources can't give their part at any size."""
+    return _mixed(spark, sf_dir, 10_000_000, 10.0)[1]
 
 
 def p10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,7 +74,7 @@ def largest_total(targets: dict, room: dict) -> float:
     return min((room[s] * total / t for s, t in there.items()), default=0.0)
 
 
-def mixture(documents: DataFrame, targets: DataFrame, key: str, source: str, levels: tuple[str, ...], tokens: str, text_hash: str, total_tokens: float | None = None, slices: int = 4096, seed: int = 5) -> tuple[DataFrame, DataFrame]:
+def mixture(documents: DataFrame, targets: DataFrame, key: str, source: str, levels: tuple[str, ...], tokens: str, text_hash: str, total_tokens: float | None = None, slices: int = 4096, seed: int = 5, stretch: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """(chosen, shares). chosen: (key, source, epoch, tokens), one row per use of a text; shares: (source, target_share,
     max_repeats, available_tokens, budget_tokens, tokens, share, repeats): one row per target, share being the part of all
     chosen tokens and repeats the largest number of uses of one text.
@@ -82,7 +82,7 @@ def mixture(documents: DataFrame, targets: DataFrame, key: str, source: str, lev
     targets: (source, target_share, max_repeats). levels: the columns above the source in the tree, outermost first; a
     source's target is divided over its places in the tree by their tokens. total_tokens is by default the greatest total at
     which every source with documents gets its share; with a larger one small sources give all they may and their shortage
-    is redistributed, among siblings before ancestors.
+    is redistributed, among siblings before ancestors. stretch: the total is at least so many times that greatest one.
 
     Texts that are equal within a source (by text_hash) are one text, under its smallest key. Epoch e orders a leaf's texts
     by a hash of seed, e and key; all epochs but the last are whole, the last ends with the text
@@ -109,7 +109,8 @@ def mixture(documents: DataFrame, targets: DataFrame, key: str, source: str, lev
     for r in sums:
         available[r["source"]] += r["tokens"]
     room = {s: available[s] * wanted[s][1] for s in available}
-    total = largest_total({s: w[0] for s, w in wanted.items()}, room) if total_tokens is None else total_tokens
+    largest = largest_total({s: w[0] for s, w in wanted.items()}, room)
+    total = max(largest if total_tokens is None else total_tokens, stretch * largest)
     tree = plant({(*[r[p] for p in places], r["source"]): (wanted[r["source"]][0] * r["tokens"] / available[r["source"]], float(r["tokens"] * wanted[r["source"]][1])) for r in sums})
     share_out(tree, total)
     budgets = leaves_of(tree) if tree.children else {}

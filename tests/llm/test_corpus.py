@@ -116,6 +116,16 @@ def test_mixture(spark):
     assert by["small"]["tokens"] == 6000 and by["small"]["repeats"] == 3 and abs(by["big"]["tokens"] - 84_000) < 200
 
 
+def test_stretch_grows_with_the_sources(spark):
+    """A fixed total is soon too small to leave any source short; a multiple of the greatest full one isn't."""
+    rows = [(i, "big", "d", "en", 100, f"h{i}") for i in range(900)] + [(2000 + i, "small", "d", "en", 100, f"s{i}") for i in range(20)]
+    goals = spark.createDataFrame([("big", 0.9, 1), ("small", 0.1, 3)], "source string, target_share double, max_repeats int")
+    for stretch, small, big in ((0.0, 2000, 18_000), (1.4, 6000, 78_000)):
+        shares = mixture(documents(spark, rows), goals, "doc_id", "source", ("domain", "lang"), "n_tokens", "hash", 20_000, stretch=stretch)[1]
+        by = {r["source"]: r["tokens"] for r in shares.collect()}
+        assert abs(by["small"] - small) <= 100 and abs(by["big"] - big) <= 100
+
+
 def test_mixture_of_nothing(spark):
     goals = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
     chosen, shares = mixture(documents(spark, []), goals, "doc_id", "source", ("domain",), "n_tokens", "hash")
