@@ -19,8 +19,9 @@ from pyspark.sql import types as T
 
 
 def _scan(key: list[str], gap: float, schema: T.StructType):
-    """A function for mapInArrow over rows (*key, a, b, n) sorted by key and a: rows of one key whose a is within gap of the
-    latest b so far are joined."""
+    """A function for mapInArrow over rows (*key, a, b, n) sorted by key and a: a row whose a is within gap of the b of the row
+    before, of the same key, is joined to it. Rows of one key don't overlap, so the b before is the latest so far, and times
+    are compared as they are."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the open session, one row
@@ -37,13 +38,9 @@ def _scan(key: list[str], gap: float, schema: T.StructType):
                 c = batch.column(k)
                 if len(c) > 1:
                     new[1:] |= ~pc.equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
-            # the latest end so far within a key: a running maximum over ends that grow by key
-            owner = np.cumsum(new)
-            lift = (b.max() - b.min() + 1.0) * owner
-            far = np.maximum.accumulate(b + lift) - lift if len(b) > 1 and np.any(b != a) else b
-            new[1:] |= a[1:] - far[:-1] > gap
+            new[1:] |= a[1:] - b[:-1] > gap
             starts = np.flatnonzero(new)
-            out = [batch.column(k).take(pa.array(starts)) for k in key] + [pa.array(a[starts]), pa.array(np.maximum.reduceat(b, starts)), pa.array(np.add.reduceat(n, starts))]
+            out = [batch.column(k).take(pa.array(starts)) for k in key] + [pa.array(a[starts]), pa.array(b[np.append(starts[1:], len(b)) - 1]), pa.array(np.add.reduceat(n, starts))]
             done = pa.RecordBatch.from_arrays(out, names=[*key, "a", "b", "n"])
             held = done.slice(len(starts) - 1)
             if len(starts) > 1:
@@ -56,18 +53,19 @@ def _scan(key: list[str], gap: float, schema: T.StructType):
 
 def sessions(events: DataFrame, entity: str, time: str, gap: float = 1800.0, slot: float = 86400.0) -> DataFrame:
     """(entity, start, end, duration, n): one row per session. A new session starts when more than gap seconds passed
-    since the entity's previous event; events exactly gap apart share one. Rows with a null entity or time are no
-    events. Events at one time count each. slot must be at least gap; the result doesn't depend on it."""
+    since the entity's previous event; events exactly gap apart share one. Rows with a null entity, or a time that is null
+    or no finite number, are no events. Events at one time count each. slot must be at least gap; the result doesn't depend on it."""
     if slot < gap:
         raise ValueError("slot must be at least gap")
     kind = events.schema[entity].dataType
     fields = [T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType()), T.StructField("n", T.LongType())]
     first = T.StructType([T.StructField("entity", kind), T.StructField("slot", T.LongType()), *fields])
-    rows = events.select(F.col(entity).alias("entity"), F.col(time).cast("double").alias("a")).where(F.col("entity").isNotNull() & F.col("a").isNotNull())
+    rows = events.select(F.col(entity).alias("entity"), F.col(time).cast("double").alias("a")).where(F.col("entity").isNotNull() & (F.abs("a") < float("inf")))  # NaN is above all numbers
     rows = rows.select("entity", F.floor(F.col("a") / slot).cast("long").alias("slot"), "a", F.col("a").alias("b"), F.lit(1).cast("long").alias("n"))
     pieces = rows.repartition("entity", "slot").sortWithinPartitions("entity", "slot", "a").mapInArrow(_scan(["entity", "slot"], gap, first), first)
     begins, ends = F.col("slot") * F.lit(float(slot)), (F.col("slot") + 1) * F.lit(float(slot))
-    open_ = (F.col("a") - begins <= gap) | (ends - F.col("b") <= gap)
+    # a second more than gap, as a time within rounding of an edge may lie in the slot beyond it
+    open_ = (F.col("a") - begins <= gap + 1) | (ends - F.col("b") <= gap + 1)
     # one pass over the events: the key of a piece that can't go on elsewhere is its own start, so the second
     # scan leaves it alone, and only open pieces meet
     second = T.StructType([T.StructField("entity", kind), T.StructField("era", T.DoubleType()), *fields])
