@@ -91,14 +91,15 @@ def placement(loads: DataFrame, tasks: int | None = None, split: float = 0.5, bu
 def balanced(rows: DataFrame, key: str, shard_by: str, plan: Placement, matching: DataFrame | None = None, how: str = "inner") -> DataFrame:
     """rows placed by plan, with the column TASK. If a matching side is given (its key column named alike), it is sent to
     the tasks of its keys' shards and joined there; columns of it that rows has as well get the suffix _right. how is
-    inner or left. Rows with a null key match nothing."""
+    inner or left. Rows with a null key match nothing. Both sides are placed by their task's number, so the join adds no
+    exchange of its own."""
     here = rows.withColumn(TASK, F.coalesce(plan.task(F.col(key), F.col(shard_by)), F.lit(0)))
     if matching is None:
         return here.repartitionById(plan.tasks, TASK)
     names = {c: f"{c}_right" if c in here.columns and c != key else c for c in matching.columns}
     there = matching.select(*[F.col(c).alias(n) for c, n in names.items()])
     there = there.withColumn(TASK, F.explode(plan.tasks_of(F.col(key))))
-    return here.repartitionById(plan.tasks, TASK).join(there, [TASK, key], how)
+    return here.repartitionById(plan.tasks, TASK).join(there.repartitionById(plan.tasks, TASK), [TASK, key], how)
 
 
 def per_key(rows: DataFrame, key: str, record: str, plan: Placement) -> DataFrame:
