@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,13 +30,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the cluster's shared checkpoint folder, so that later stages neither recompute it nor
-    depend on any one executor. The folder is spark.checkpoint.dir; only where that is unset (tests, one machine)
-    is a folder of our own chosen."""
-    spark = df.sparkSession
+    depend on any one executor."""
+    _shared(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _shared(spark: SparkSession) -> str:
+    """The checkpoint folder: what spark.checkpoint.dir names. Where that is unset, a folder of our own on a local master, and an
+    error on any other, whose executors couldn't see it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyloom-"))
-    return df.checkpoint(eager=True)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError(f"master {context.master}: set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyloom-"))
+    return context.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for a written table, in the checkpoint folder."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def partitions(spark: SparkSession) -> int:
