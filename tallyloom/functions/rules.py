@@ -100,3 +100,8 @@ def keyword_class(words: Column, keywords: tuple[str, ...] = MONEY_WORDS, mislea
     excluded = F.array_sort(F.array_intersect(words, bad))
     matched = F.array_sort(F.array_except(F.array_intersect(words, F.array(*map(F.lit, keywords))), bad))
     return F.struct(((F.size(matched) > 0) & (F.size(excluded) == 0)).alias("is_match"), F.size(matched).alias("keyword_count"), matched.alias("matched"), excluded.alias("excluded"))
+
+
+def is_active(posts: Column | str, subscribers: Column | str, least_posts: int = 1000, least_subscribers: int = 100) -> Column:
+    """Whether a community has enough posts and subscribers; an unknown number isn't enough."""
+    return F.coalesce((col(posts) >= least_posts) & (col(subscribers) >= least_subscribers), F.lit(False))

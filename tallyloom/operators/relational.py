@@ -19,10 +19,11 @@ def drop_members(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
 
 
 def first_by(rows: DataFrame, key: str, order: list[str], last: bool = False) -> DataFrame:
-    """One row per key, the first (or last) in the order given; ties fall to the row of least (greatest) columns. An aggregate,
-    so a hot key is combined before the shuffle."""
+    """One row per non-null key, the first (or last) in the order given, nulls after all values either way; ties fall to the row
+    of least (greatest) columns. No key is lost. An aggregate, so a hot key is combined before the shuffle."""
     rest = [c for c in rows.columns if c != key and c not in order and not isinstance(rows.schema[c].dataType, T.MapType)]
-    whole = F.struct(*order, *rest)
+    flag = F.isnotnull if last else F.isnull
+    whole = F.struct(*[x for c in (*order, *rest) for x in (flag(F.col(c)).alias(f"{c}_"), F.col(c).alias(c))])
     pick = (F.max if last else F.min)(whole).alias("x")
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(pick).select(key, *[F.col(f"x.{c}").alias(c) for c in rows.columns if c != key])
 

@@ -10,12 +10,14 @@ from tallyloom.functions import text as X
 from tallyloom.operators import labels as L
 from tallyloom.operators import relational as J
 from tallyloom.operators import training as M
+from tallyloom.operators.records import numbered
 from tallyloom.operators.timing import bare_id
 from tallyloom.plans import feature_queries
 from tallyloom.plans.base import comments, sql_author, sql_records, submissions
 from tallyloom.session import cut, table
 
 LEAST_POSTS, SURE = 3, 0.9
+ACTIVE = (1000, 100)  # posts and subscribers of an active community
 NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
@@ -94,15 +96,13 @@ def author_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dedup_first(spark: SparkSession, d: str) -> DataFrame:
-    """The copy of each comment with the earliest period."""
-    rows = table(spark, d, "comments").select("id", "source_period", "score")
-    return J.first_by(rows.where("source_period IS NOT NULL AND score IS NOT NULL"), "id", ["source_period", "score"])
+    """The copy of each comment with the earliest period, unknown periods last."""
+    return J.first_by(table(spark, d, "comments").select("id", "source_period", "score"), "id", ["source_period", "score"])
 
 
 def upsert_last(spark: SparkSession, d: str) -> DataFrame:
-    """The copy of each comment with the latest period."""
-    rows = table(spark, d, "comments").select("id", "source_period", "score")
-    return J.first_by(rows.where("source_period IS NOT NULL AND score IS NOT NULL"), "id", ["source_period", "score"], last=True)
+    """The copy of each comment with the latest period, unknown periods last."""
+    return J.first_by(table(spark, d, "comments").select("id", "source_period", "score"), "id", ["source_period", "score"], last=True)
 
 
 def author_set_check(spark: SparkSession, d: str) -> DataFrame:
@@ -132,19 +132,16 @@ def community_merge(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "communities").where("display_name IS NOT NULL")
     flat = rows.select("display_name", F.col("_meta.num_posts").alias("num_posts"), F.col("_meta.num_comments").alias("num_comments"), "subscribers", "description", "public_description")
     full = J.first_by(flat.where("description IS NOT NULL"), "display_name", ["num_posts"], last=True)
-    meta = J.first_by(flat.select("display_name", "num_posts", "num_comments", "subscribers"), "display_name", ["num_posts"], last=True)
-    return J.merge_right_first(meta, full, "display_name", {"description": F.lit(""), "public_description": F.lit("")}).select("display_name", "num_posts", "num_comments", "subscribers", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("public_description", F.lit("")).alias("public_description"))
+    meta = J.first_by(flat.select("display_name", "num_posts", "num_comments", "subscribers", "public_description"), "display_name", ["num_posts"], last=True)
+    return J.merge_right_first(meta, full, "display_name", {"description": F.lit("")}).select("display_name", "num_posts", "num_comments", "subscribers", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("public_description", F.lit("")).alias("public_description"))
 
 
 def ranked_communities(spark: SparkSession, d: str) -> DataFrame:
-    """Communities with activity, by money words and subscribers. One row per community, of which there are as many as a directory
-    holds, so ranks may be counted in one task."""
-    from pyspark.sql import Window as W
-
-    rows = community_merge(spark, d).where((F.col("num_posts") >= 1) & (F.col("subscribers") >= 100))
+    """Communities with activity, by money words and subscribers."""
+    rows = community_merge(spark, d).where(R.is_active("num_posts", "subscribers", *ACTIVE))
     k = R.keyword_class(R.keyword_words(F.concat_ws(" ", "display_name", "description", "public_description")))
     rows = rows.withColumn("k", k).select("display_name", F.col("k.keyword_count").alias("keyword_count"), F.col("k.is_match").alias("is_match"), "subscribers")
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("keyword_count"), F.desc("subscribers"), "display_name")))
+    return numbered(rows, [F.desc("keyword_count"), F.desc("subscribers"), F.col("display_name")]).withColumn("rank", F.col("place").cast("int")).drop("place")
 
 
 def column_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -236,11 +233,11 @@ _ALL = f"WITH {_POSTS}, {_RANKED}"
 _C1 = "WITH " + sql_records("comments", "c0", "author", "subreddit", "link_id", "parent_id", "created_utc") + ", " + sql_records("submissions", "s0", "title")
 _MERGE = """fl AS (SELECT display_name, _meta.num_posts AS num_posts, _meta.num_comments AS num_comments, subscribers, description, public_description FROM communities WHERE display_name IS NOT NULL),
 fu AS (SELECT * FROM fl WHERE description IS NOT NULL QUALIFY row_number() OVER (PARTITION BY display_name ORDER BY num_posts DESC NULLS LAST, num_comments DESC NULLS LAST, subscribers DESC NULLS LAST, description DESC NULLS LAST, public_description DESC NULLS LAST) = 1),
-me AS (SELECT display_name, num_posts, num_comments, subscribers FROM fl QUALIFY row_number() OVER (PARTITION BY display_name ORDER BY num_posts DESC NULLS LAST, num_comments DESC NULLS LAST, subscribers DESC NULLS LAST) = 1),
-mg AS (SELECT display_name, num_posts, num_comments, subscribers, coalesce(description, '') AS description, coalesce(public_description, '') AS public_description FROM fu UNION ALL SELECT *, '', '' FROM me WHERE display_name NOT IN (SELECT display_name FROM fu))"""
+me AS (SELECT display_name, num_posts, num_comments, subscribers, public_description FROM fl QUALIFY row_number() OVER (PARTITION BY display_name ORDER BY num_posts DESC NULLS LAST, num_comments DESC NULLS LAST, subscribers DESC NULLS LAST, public_description DESC NULLS LAST) = 1),
+mg AS (SELECT display_name, num_posts, num_comments, subscribers, coalesce(description, '') AS description, coalesce(public_description, '') AS public_description FROM fu UNION ALL SELECT display_name, num_posts, num_comments, subscribers, '', coalesce(public_description, '') FROM me WHERE display_name NOT IN (SELECT display_name FROM fu))"""
 _KEYS = ", ".join(f"'{x}'" for x in R.MONEY_WORDS)
 _BAD = ", ".join(f"'{x}'" for x in R.NOT_MONEY_WORDS)
-_COPIES = "SELECT id, source_period, score FROM comments WHERE id IS NOT NULL AND source_period IS NOT NULL AND score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY source_period {0}, score {0}) = 1"
+_COPIES = "SELECT id, source_period, score FROM comments WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY source_period {0} NULLS LAST, score {0} NULLS LAST) = 1"
 _SC = "sc AS (SELECT cosine_similarity AS score, CASE WHEN shared_url_count >= 2 THEN 1 ELSE 0 END AS y FROM suspicious_pairs WHERE cosine_similarity IS NOT NULL AND shared_url_count IS NOT NULL)"
 
 
@@ -275,7 +272,7 @@ SELECT change, count(*) AS n FROM (SELECT CASE WHEN x.author IS NOT NULL AND y.a
     "author_set_check": f"{_ALL} SELECT author IN (SELECT author FROM po) AS has_posts, count(*) AS n FROM rk GROUP BY 1",
     "named_bot_exclusion": f"WITH {sql_records('comments', 'c0', 'author')} SELECT id, author FROM c0 WHERE author IS NOT NULL AND NOT contains(lower(author), 'bot')",
     "community_merge": f"WITH {_MERGE} SELECT * FROM mg",
-    "ranked_communities": f"""WITH {_MERGE}, w AS (SELECT display_name, subscribers, list_distinct(list_filter([trim(x, '.,!?-_()[]{{}}":;') for x in string_split(trim(regexp_replace(lower(concat_ws(' ', display_name, description, public_description)), '[\\s\\x{{a0}}]+', ' ', 'g')), ' ')], lambda v: v <> '')) AS ws FROM mg WHERE num_posts >= 1 AND subscribers >= 100),
+    "ranked_communities": f"""WITH {_MERGE}, w AS (SELECT display_name, subscribers, list_distinct(list_filter([trim(x, '.,!?-_()[]{{}}":;') for x in string_split(trim(regexp_replace(lower(concat_ws(' ', display_name, description, public_description)), '[\\s\\x{{a0}}]+', ' ', 'g')), ' ')], lambda v: v <> '')) AS ws FROM mg WHERE num_posts >= {ACTIVE[0]} AND subscribers >= {ACTIVE[1]}),
 k AS (SELECT display_name, subscribers, len(list_filter(ws, lambda v: v IN ({_KEYS}) AND v NOT IN ({_BAD})))::INT AS keyword_count, len(list_filter(ws, lambda v: v IN ({_BAD}))) AS bad FROM w)
 SELECT display_name, keyword_count, keyword_count > 0 AND bad = 0 AS is_match, subscribers, CAST(row_number() OVER (ORDER BY keyword_count DESC, subscribers DESC, display_name) AS INT) AS rank FROM k""",
     "column_profile": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, count(*) - count({c}) AS nulls, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(min({c}), 4)::DOUBLE AS min, round(quantile_cont({c}::DOUBLE, 0.25), 4) AS q25, round(quantile_cont({c}::DOUBLE, 0.5), 4) AS median, round(quantile_cont({c}::DOUBLE, 0.75), 4) AS q75, round(max({c}), 4)::DOUBLE AS max, count(*) FILTER ({c} < 0) AS negatives FROM lineitem" for c in NUMBERS),
