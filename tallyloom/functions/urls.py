@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyloom.functions.text import col
+from tallyloom.functions.text import col, nullif_blank
 
 # Three patterns that differ in what ends a URL; they are not interchangeable.
 URL_FEATURES = r"https?://[^\s\)\]\"\']+"
@@ -36,24 +37,48 @@ def domain_by_prefix(url: Column | str) -> Column:
     return F.regexp_replace(netloc(url), r"^www\.", "")
 
 
+_PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)"
+
+
 def normal_url(url: Column | str) -> Column:
-    """Scheme and host in lower case, no "www.", no parameters, query or fragment, no slash at the end."""
+    """Scheme and host in lower case, no "www.", no parameters, query or fragment, no slash at the end. A link without a scheme
+    gets http, one without a host keeps its path: "/r/a" becomes http:///r/a and "a.example/x" http:a.example/x."""
     u = col(url)
-    scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
-    path = F.rtrim(F.regexp_replace(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1), r";[^/]*$", ""), F.lit("/"))
-    return F.concat(F.when(scheme == "", "http").otherwise(scheme), F.lit("://"), domain_by_prefix(u), path)
-
-
-def record_urls(fields: dict[str, str], texts: tuple[str, ...] = ("title", "selftext", "body")) -> Column:
-    """The URLs of a flattened record, from its link columns and its texts. fields: column -> Spark type; nested columns that
-    are there (preview, media, secure_media, media_metadata) are searched as far as their types go, cross-posts three deep."""
-    parts = [F.array(F.col(c)) for c in ("url", "url_overridden_by_dest") if c in fields]
-    parts += [extract_urls(c, URL_LINKS) for c in (*texts, *(f"{t}_html" for t in texts)) if c in fields]
-    if "preview" in fields:
-        parts.append(F.transform("preview.images", lambda i: i["source"]["url"]))
-    parts += [F.array(F.coalesce(F.col(f"{c}.oembed.url"), F.col(f"{c}.oembed.thumbnail_url"))) for c in ("media", "secure_media") if c in fields]
-    if "media_metadata" in fields:
-        parts.append(F.transform(F.map_values("media_metadata"), lambda m: F.coalesce(m["s"]["u"], m["s"]["url"])))
+    part = lambda i: F.regexp_extract(u, _PARTS, i)
+    scheme = F.coalesce(nullif_blank(F.lower(part(1))), F.lit("http"))
+    host = F.regexp_replace(F.lower(F.substring(part(2), 3, 1 << 30)), r"^www\.", "")
+    path = F.rtrim(F.regexp_replace(part(3), r";[^/]*$", ""), F.lit("/"))
+    slashes = (host != "") | (scheme.isin("http", "https", "ftp") & ((path == "") | path.startswith("/")))
+    return F.concat(scheme, F.lit(":"), F.when(slashes, F.lit("//")).otherwise(F.lit("")), host, path)
+
+
+def url_token(url: Column | str, mode: str = "url") -> Column:
+    """What a normal URL counts as: the URL itself, or with mode "domain" its host."""
+    return domain_by_prefix(url) if mode == "domain" else col(url)
+
+
+def _filled(*values: Column) -> Column:
+    """The first value that is neither null nor empty."""
+    return F.coalesce(*[nullif_blank(v) for v in values])
+
+
+def record_urls(kind: T.StructType, of: Column | None = None, texts: tuple[str, ...] = ("title", "selftext", "body")) -> Column:
+    """The URLs of a record of type `kind` (its columns, or the struct `of`): link columns, texts, preview images, media,
+    galleries, and all of these in the records that it was cross-posted from, as deep as the type goes."""
+    at = lambda name: F.col(name) if of is None else of[name]
+    names = set(kind.names)
+    parts = [F.array(at(c)) for c in ("url", "url_overridden_by_dest") if c in names]
+    parts += [extract_urls(at(c), URL_LINKS) for c in (*texts, *(f"{t}_html" for t in texts if t != "title")) if c in names]
+    if "preview" in names:
+        parts.append(F.transform(at("preview")["images"], lambda i: i["source"]["url"]))
+    parts += [F.array(_filled(at(c)["oembed"]["url"], at(c)["oembed"]["thumbnail_url"])) for c in ("media", "secure_media") if c in names]
+    if "media_metadata" in names:
+        inner = kind["media_metadata"].dataType.valueType
+        part = lambda m, name: [F.get_json_object(m[name], f"$.{f}") for f in ("u", "url")] if isinstance(inner[name].dataType, T.StringType) else [m[name][f] for f in ("u", "url")]
+        parts.append(F.transform(F.map_values(at("media_metadata")), lambda m: _filled(*[x for n in ("s", "p") if n in inner.names for x in part(m, n)])))
+    if "crosspost_parent_list" in names:
+        parent = kind["crosspost_parent_list"].dataType.elementType
+        parts.append(F.flatten(F.transform(at("crosspost_parent_list"), lambda r: record_urls(parent, r, texts))))
     empty = F.array().cast("array<string>")
     return F.filter(F.flatten(F.array(*[F.coalesce(p, empty) for p in parts])), lambda u: u.isNotNull() & (u != "")) if parts else empty
 

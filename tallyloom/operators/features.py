@@ -2,8 +2,8 @@
 
 comments: author, created_utc, score, subreddit, body, controversiality, banned_at_utc, parent (a comment's bare id or null);
 submissions: author, created_utc, score, subreddit, title, selftext, url, upvote_ratio, num_comments, removed_by_category,
-over_18, banned_at_utc. A missing value is null, never NaN. Each group is one pass with partial aggregates; only values that
-need an author's whole sample (entropies of intervals) gather it, as numbers.
+over_18, banned_at_utc. A missing value is null, never NaN. Each group is one pass with partial aggregates; entropies, which
+need an author's whole sample, gather at most GATHERED numbers and rank more by ranges.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from tallyloom.functions import stylometrics as Y
 from tallyloom.functions import urls as U
 from tallyloom.functions.text import NO_TEXT
 from tallyloom.operators.records import numbered
+from tallyloom.session import cut
 
 DAY = 86400.0
+GATHERED = 1000  # so many values of one author may come into one row
 
 
 def _both(comments: DataFrame, submissions: DataFrame, *columns: str) -> DataFrame:
@@ -38,22 +40,59 @@ def activity(comments: DataFrame, submissions: DataFrame) -> DataFrame:
     return by.select("author", "num_comments", "num_submissions", (F.col("num_comments") + F.col("num_submissions")).alias("total_posts"), (F.col("num_comments") / F.greatest(days, F.lit(1.0))).alias("comments_per_day"), (F.col("num_submissions") / F.greatest(days, F.lit(1.0))).alias("submissions_per_day"), days.alias("account_age_days"))
 
 
-def gaps(rows: DataFrame) -> DataFrame:
-    """(author, gap): seconds between an author's consecutive posts."""
-    w = W.partitionBy("author").orderBy("created_utc")
-    timed = rows.where("created_utc IS NOT NULL AND created_utc <> 0")
-    return timed.select("author", (F.col("created_utc") - F.lag("created_utc").over(w)).alias("gap")).where("gap IS NOT NULL")
-
-
-def gap_features(rows: DataFrame, prefix: str) -> DataFrame:
-    """Mean, least and population standard deviation of the gaps, their sample variance and their differential entropy."""
-    by = gaps(rows).groupBy("author").agg(F.avg("gap").alias(f"{prefix}_mean_interval_seconds"), F.min("gap").alias(f"{prefix}_min_interval_seconds"), F.stddev_pop("gap").alias(f"{prefix}_std_interval_seconds"), F.sort_array(F.collect_list("gap")).alias("x"), F.var_samp("gap").alias(f"{prefix}_interval_variance"))
-    return by.withColumn(f"{prefix}_interval_entropy", Y.differential_entropy(F.col("x"))).drop("x")
+def gaps(rows: DataFrame, keys: tuple[str, ...] = ("author",), slot: float = DAY) -> DataFrame:
+    """(*keys, gap): seconds between a key's consecutive posts. Posts are met within slots of time, and the first and last of each
+    slot across slots, so that a key with a third of all posts is as many groups as it has slots."""
+    timed = rows.where("created_utc IS NOT NULL AND created_utc <> 0").select(*keys, F.floor(F.col("created_utc") / slot).alias("slot"), "created_utc").repartition(*keys, "slot")
+    inside = timed.select(*keys, (F.col("created_utc") - F.lag("created_utc").over(W.partitionBy(*keys, "slot").orderBy("created_utc"))).alias("gap"))
+    ends = timed.groupBy(*keys, "slot").agg(F.min("created_utc").alias("a"), F.max("created_utc").alias("b"))
+    across = ends.select(*keys, (F.col("a") - F.lag("b").over(W.partitionBy(*keys).orderBy("slot"))).alias("gap"))
+    return inside.union(across).where("gap IS NOT NULL")
+
+
+def sample_statistics(values: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
+    """(*keys, mean, least, deviation, variance, entropy) of each key's values: population deviation, sample variance and differential
+    entropy, all null where a key has only nulls (entropy for fewer than five values, too).
+
+    No key's values come into one row but those of keys with at most GATHERED of them. The entropy of a larger one needs the
+    values m ranks apart, m being floor(sqrt(n) + 0.5): its different values are ranked by ranges and met by rank. A value
+    that fills a whole window makes it -infinity, and then nothing is ranked."""
+    values = cut(values.select(*keys, F.col(value).alias("v")))
+    by = values.groupBy(*keys).agg(F.avg("v").alias("mean"), F.min("v").alias("least"), F.stddev_pop("v").alias("deviation"), F.var_samp("v").alias("variance"), F.count("v").alias("n"))
+    by = cut(by)
+    large = by.where(F.col("n") > GATHERED).select(*keys, "n", F.floor(F.sqrt(F.col("n").cast("double")) + 0.5).cast("long").alias("m"))
+    given = values.where("v IS NOT NULL")
+    some = given.join(large, list(keys), "left_anti") if not large.isEmpty() else given
+    entropy = some.groupBy(*keys).agg(F.sort_array(F.collect_list("v")).alias("x")).select(*keys, Y.differential_entropy(F.col("x")).alias("entropy"))
+    if some is not given:
+        levels = cut(given.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c")).join(large, list(keys)))
+        tied = levels.where(F.col("c") > 2 * F.col("m")).select(*keys).distinct()
+        loose = levels.join(tied, list(keys), "left_anti")
+        ranked = numbered(loose, [F.col("v")], "c", keys)
+        each = cut(ranked.select(*keys, "n", "m", "v", F.explode(F.sequence(F.col("upto") - F.col("c") + 1, F.col("upto"))).alias("i")))
+        up = each.select(*keys, (F.col("i") - F.col("m")).alias("i"), F.col("v").alias("above"))
+        down = each.select(*keys, (F.col("i") + F.col("m")).alias("i"), F.col("v").alias("below"))
+        ends = loose.groupBy(*keys).agg(F.max("v").alias("top"), F.min("v").alias("bottom"))
+        met = each.join(up, [*keys, "i"], "left").join(down, [*keys, "i"], "left").join(ends, list(keys))
+        wide = F.coalesce("above", "top") - F.coalesce("below", "bottom")
+        term = F.when(wide > 0, F.ln(F.col("n") / (2.0 * F.col("m")) * wide)).otherwise(F.lit(float("-inf")))
+        entropy = entropy.union(met.groupBy(*keys).agg((F.sum(term) / F.max("n")).alias("entropy"))).union(tied.select(*keys, F.lit(float("-inf")).alias("entropy")))
+    return by.join(entropy, list(keys), "left").drop("n")
+
+
+def _named(prefix: str, what: str) -> list[Column]:
+    names = {"mean": f"mean_{what}_seconds", "least": f"min_{what}_seconds", "deviation": f"std_{what}_seconds", "variance": f"{what}_variance", "entropy": f"{what}_entropy"}
+    return [F.col(c).alias(prefix + n) for c, n in names.items()]
 
 
 def intervals(comments: DataFrame, submissions: DataFrame) -> DataFrame:
-    c, s = comments.select("author", "created_utc"), submissions.select("author", "created_utc")
-    return join_features([gap_features(c, "comment"), gap_features(s, "submission"), gap_features(c.union(s), "all_posts")], "full")
+    """For comments, submissions and both together: mean, least and population deviation of the gaps, their sample variance and
+    their differential entropy. The three series are one pass."""
+    one = comments.select("author", "created_utc", F.array(F.lit("comment"), F.lit("all_posts")).alias("s")).union(submissions.select("author", "created_utc", F.array(F.lit("submission"), F.lit("all_posts"))))
+    series = one.select("author", F.explode("s").alias("series"), "created_utc").where("author IS NOT NULL")
+    found = cut(sample_statistics(gaps(series, ("author", "series")), ("author", "series"), "gap"))
+    groups = [found.where(F.col("series") == s).select("author", *_named(f"{s}_", "interval")) for s in ("comment", "submission", "all_posts")]
+    return join_features(groups, "full")
 
 
 def reply_times(comments: DataFrame, parents: DataFrame, mode: str = "per_parent_last") -> DataFrame:
@@ -66,9 +105,10 @@ def reply_times(comments: DataFrame, parents: DataFrame, mode: str = "per_parent
         replies = replies.groupBy("author", "parent").agg(F.max("created_utc").alias("created_utc"))
     both = replies.join(parents.select(F.col("id").alias("parent"), F.col("created_utc").alias("then")), "parent", "left")
     t = F.when(F.col("created_utc") >= F.col("then"), F.col("created_utc") - F.col("then"))
-    both = both.select("author", t.alias("t"))
-    by = both.groupBy("author").agg(F.avg("t").alias("mean_reply_time_seconds"), F.min("t").alias("min_reply_time_seconds"), F.stddev_pop("t").alias("std_reply_time_seconds"), F.var_samp("t").alias("reply_time_variance"), F.sort_array(F.collect_list("t")).alias("x"), (F.count("t") / F.count(F.lit(1))).alias("reply_time_coverage"))
-    return by.withColumn("reply_time_entropy", Y.differential_entropy(F.col("x"))).drop("x")
+    both = cut(both.select("author", t.alias("t")))
+    coverage = both.groupBy("author").agg((F.count("t") / F.count(F.lit(1))).alias("reply_time_coverage"))
+    found = sample_statistics(both, ("author",), "t")
+    return found.select("author", *_named("", "reply_time")).join(coverage, "author")
 
 
 def engagement(comments: DataFrame, submissions: DataFrame) -> DataFrame:

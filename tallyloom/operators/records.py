@@ -23,15 +23,16 @@ def one_per_id(df: DataFrame, key: str = "id", **kept: Column) -> DataFrame:
     return rows.groupBy(key).agg(F.min(ranked).alias("kept")).select(key, *[F.col(f"kept.{n}").alias(n) for n in names])
 
 
-def numbered(rows: DataFrame, order: list[Column], total: str | None = None) -> DataFrame:
-    """rows with place, from 1 in the order given, and with upto, the running sum of the column total, if named. Rows are spread by
-    ranges of the order; each range adds the number and sum of those before it, so no task orders all rows."""
-    spread = cut(rows.repartitionByRange(*order).withColumn("p_", F.spark_partition_id()))
+def numbered(rows: DataFrame, order: list[Column], total: str | None = None, within: tuple[str, ...] = ()) -> DataFrame:
+    """rows with place, from 1 in the order given, and with upto, the running sum of the column total, if named; with `within`, for
+    each combination of these columns, none of them null, on its own. Rows are spread by ranges of the order; each range adds the number and sum of those
+    before it, so no task orders all rows, nor all rows of one key."""
+    spread = cut(rows.repartitionByRange(*within, *order).withColumn("p_", F.spark_partition_id()))
     sums = [F.count(F.lit(1)).alias("m_"), (F.sum(total) if total else F.lit(0)).alias("s_")]
-    line = W.partitionBy(F.lit(0)).orderBy("p_").rowsBetween(W.unboundedPreceding, W.currentRow)
-    before = spread.groupBy("p_").agg(*sums).select("p_", (F.sum("m_").over(line) - F.col("m_")).alias("m_"), (F.sum("s_").over(line) - F.col("s_")).alias("s_"))
-    inside = W.partitionBy("p_").orderBy(*order)
-    out = spread.join(before, "p_").withColumn("place", F.col("m_") + F.row_number().over(inside))
+    line = W.partitionBy(*(within or [F.lit(0)])).orderBy("p_").rowsBetween(W.unboundedPreceding, W.currentRow)  # one row per range
+    before = spread.groupBy(*within, "p_").agg(*sums).select(*within, "p_", (F.sum("m_").over(line) - F.col("m_")).alias("m_"), (F.sum("s_").over(line) - F.col("s_")).alias("s_"))
+    inside = W.partitionBy(*within, "p_").orderBy(*order)
+    out = spread.join(before, [*within, "p_"]).withColumn("place", F.col("m_") + F.row_number().over(inside))
     if total:
         out = out.withColumn("upto", F.col("s_") + F.sum(total).over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
     return out.drop("p_", "m_", "s_")

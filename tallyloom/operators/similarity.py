@@ -35,6 +35,30 @@ def _matrix(t: pa.Table, column: str) -> np.ndarray:
     return c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
 
 
+def _above(t: pa.Table, p: int, q: int, threshold: float, strict: bool) -> pa.Table:
+    """(a, b, similarity), a < b: pairs of the parts p and q (column own) of t, or within p if they are one, above the threshold."""
+    own = t.column("own").to_numpy()
+    x, ids = _matrix(t, "v"), t.column("id").combine_chunks()
+    one = np.flatnonzero(own == p)
+    two = one if p == q else np.flatnonzero(own == q)
+    left, right, sims = [], [], []
+    for lo in range(0, len(one), 512):
+        s = x[one[lo : lo + 512]] @ x[two].T
+        i, j = np.nonzero(s > threshold if strict else s >= threshold)
+        left.append(one[lo + i])
+        right.append(two[j])
+        sims.append(s[i, j])
+    left, right, sims = (np.concatenate(z) if z else np.zeros(0, int) for z in (left, right, sims))
+    a, b = ids.take(pa.array(left, pa.int64())), ids.take(pa.array(right, pa.int64()))
+    lower = pc.less(a, b)
+    if p != q:
+        a, b = pc.if_else(lower, a, b), pc.if_else(lower, b, a)
+        keep = pc.not_equal(a, b)
+    else:
+        keep = lower
+    return pa.table({"a": a, "b": b, "similarity": pa.array(sims, pa.float64())}).filter(keep)
+
+
 def range_pairs(vectors: DataFrame, threshold: float, strict: bool = False, block: int = 4096) -> DataFrame:
     """(a, b, similarity) with a < b: all pairs of unit vectors (id, v) with a dot product of at least (strict: above) threshold.
 
@@ -47,27 +71,7 @@ def range_pairs(vectors: DataFrame, threshold: float, strict: bool = False, bloc
     kind = vectors.schema["id"].dataType.simpleString()
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        p, q = key[0].as_py(), key[1].as_py()
-        own = t.column("own").to_numpy()
-        x, ids = _matrix(t, "v"), t.column("id").combine_chunks()
-        one = np.flatnonzero(own == p)
-        two = one if p == q else np.flatnonzero(own == q)
-        left, right, sims = [], [], []
-        for lo in range(0, len(one), 512):
-            s = x[one[lo : lo + 512]] @ x[two].T
-            i, j = np.nonzero(s > threshold if strict else s >= threshold)
-            left.append(one[lo + i])
-            right.append(two[j])
-            sims.append(s[i, j])
-        left, right, sims = (np.concatenate(z) if z else np.zeros(0, int) for z in (left, right, sims))
-        a, b = ids.take(pa.array(left, pa.int64())), ids.take(pa.array(right, pa.int64()))
-        lower = pc.less(a, b)
-        if p != q:
-            a, b = pc.if_else(lower, a, b), pc.if_else(lower, b, a)
-            keep = pc.not_equal(a, b)
-        else:
-            keep = lower
-        return pa.table({"a": a, "b": b, "similarity": pa.array(sims, pa.float64())}).filter(keep)
+        return _above(t, key[0].as_py(), key[1].as_py(), threshold, strict)
 
     return rows.groupBy("p", "q").applyInArrow(run, f"a {kind}, b {kind}, similarity double")
 
@@ -123,23 +127,35 @@ def signatures(vectors: DataFrame, dim: int, bits: int = 16, tables: int = 4, se
     return vectors.select("id", "v").mapInArrow(run, f"id {kind}, table int, signature long")
 
 
-def bucket_pairs(vectors: DataFrame, signs: DataFrame, threshold: float, top_k: int | None = None, split: int = 512) -> DataFrame:
-    """(a, b, similarity), a < b: pairs that share a bucket of some table and have at least the threshold; with top_k only
-    those among the top_k of one of the two within a bucket. Buckets larger than `split` are met in parts, each part with
-    each other, by keys of their own."""
+def bucket_pairs(vectors: DataFrame, signs: DataFrame, threshold: float, top_k: int | None = None, split: int = 4096) -> DataFrame:
+    """(a, b, similarity), a < b: pairs of unit vectors that share a bucket of some table and have at least the threshold; with top_k only
+    those among the top_k of one of the two within a bucket. Buckets are met as matrix products; one larger than `split` in
+    parts, each part with each other, by keys of their own."""
     sizes = signs.groupBy("table", "signature").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = signs.join(sizes, ["table", "signature"]).join(vectors, "id")
-    rows = rows.withColumn("parts", F.ceil(F.col("n") / split).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    side = rows.select("table", "signature", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), "part", "id", "v")
-    one = side.select("table", "signature", F.col("part").alias("p"), F.col("other").alias("q"), F.col("id").alias("a"), F.col("v").alias("x"))
-    two = side.select("table", "signature", F.col("other").alias("p"), F.col("part").alias("q"), F.col("id").alias("b"), F.col("v").alias("y"))
-    met = one.join(two, ["table", "signature", "p", "q"]).where("a <> b" if top_k else "a < b").withColumn("similarity", dot("x", "y")).where(F.col("similarity") >= threshold)
+    rows = rows.withColumn("parts", F.ceil(F.col("n") / split).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("table", "signature", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "v")
+    kind = vectors.schema["id"].dataType.simpleString()
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        table, _, p, q = (k.as_py() for k in key)
+        found = _above(t, p, q, threshold, False)
+        return found.add_column(0, "table", pa.array(np.full(found.num_rows, table, np.int32)))
+
+    met = rows.groupBy("table", "signature", "p", "q").applyInArrow(run, f"table int, a {kind}, b {kind}, similarity double")
     if top_k:
-        w = W.partitionBy("table", "a").orderBy(F.desc("similarity"), "b")
-        met = met.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top_k).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+        met = _best_of_each(met, top_k)
     return met.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
+def _best_of_each(met: DataFrame, top_k: int) -> DataFrame:
+    """Of pairs (table, a, b, similarity) those among the top_k of one of their ends in a table."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("one"), F.col("b").alias("two")), F.struct(F.col("b").alias("one"), F.col("a").alias("two")))).alias("e")
+    w = W.partitionBy("table", "e.one").orderBy(F.desc("similarity"), "e.two")
+    return met.select("table", "a", "b", "similarity", ends).withColumn("k", F.row_number().over(w)).where(F.col("k") <= top_k)
+
+
 def probed_pairs(vectors: DataFrame, signs: DataFrame, bits: int, threshold: float, top_k: int | None = None, block: int = 4096) -> DataFrame:
     """bucket_pairs that looks into the neighbouring buckets as well: pairs of at least the threshold whose signatures of some
     table differ in at most one of the `bits` bits; with top_k only those among the top_k of one of the two within a table.
@@ -185,27 +201,44 @@ def probed_pairs(vectors: DataFrame, signs: DataFrame, bits: int, threshold: flo
 
     met = rows.groupBy("table", "half", "same", "p", "q").applyInArrow(run, f"table int, a {kind}, b {kind}, similarity double")
     if top_k:
-        ends = F.explode(F.array(F.struct(F.col("a").alias("one"), F.col("b").alias("two")), F.struct(F.col("b").alias("one"), F.col("a").alias("two")))).alias("e")
-        w = W.partitionBy("table", "e.one").orderBy(F.desc("similarity"), "e.two")
-        met = met.select("table", "a", "b", "similarity", ends).withColumn("k", F.row_number().over(w)).where(F.col("k") <= top_k)
+        met = _best_of_each(met, top_k)
     return met.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def hamming_pairs(vectors: DataFrame, signs: DataFrame, threshold: float, candidates: int, ids: Column | None = None) -> DataFrame:
+def hamming_pairs(vectors: DataFrame, signs: DataFrame, threshold: float, candidates: int, ids: Column | None = None, bits: int = 32, blocks: int = 4) -> DataFrame:
     """(query, id, similarity): for each query row the `candidates` rows of nearest signature (of one table) by differing bits,
-    rescored by cosine, of which those of at least the threshold stay. Signatures repeat, so queries meet the table of
-    different signatures with their counts first, and members only of those that can be among the nearest."""
+    ties by id, rescored by cosine, of which those of at least the threshold stay.
+
+    Different signatures are found through an index on `blocks` blocks of their bits: two that differ in fewer than
+    blocks * (s + 1) bits differ in at most s bits of some block, so looking up each block with up to s bits turned finds
+    them all. s grows from 0 for the signatures that don't have their candidates yet, and with s the width of a block all
+    are found. Of rows with one signature at most candidates + 1, those of least id, can be among the nearest."""
     one = signs.where("table = 0").select("id", "signature")
     levels = cut(one.groupBy("signature").agg(F.count(F.lit(1)).alias("n")))
-    asked = one if ids is None else one.where(ids)
-    sigs = asked.select(F.col("signature").alias("s")).distinct()
-    near = sigs.join(levels, F.bit_count(F.col("s").bitwiseXOR(F.col("signature"))) >= 0).withColumn("d", F.bit_count(F.col("s").bitwiseXOR(F.col("signature"))))
-    per = near.groupBy("s", "d").agg(F.sum("n").alias("n"))
-    w = W.partitionBy("s").orderBy("d").rowsBetween(W.unboundedPreceding, W.currentRow)
-    reach = per.withColumn("before", F.sum("n").over(w) - F.col("n")).where(F.col("before") < candidates + 1).groupBy("s").agg(F.max("d").alias("r"))
-    allowed = near.join(reach, "s").where(F.col("d") <= F.col("r")).select("s", "signature", "d")
-    found = asked.select(F.col("id").alias("query"), F.col("signature").alias("s")).join(allowed, "s").join(one, "signature").where("id <> query")
-    top = found.withColumn("k", F.row_number().over(W.partitionBy("query").orderBy("d", "id"))).where(F.col("k") <= candidates)
+    asked = cut(one if ids is None else one.where(ids))
+    left = cut(asked.select(F.col("signature").alias("s")).distinct())
+    width = -(-bits // blocks)
+    part = lambda c, j: F.shiftright(c, j * width).bitwiseAND((1 << width) - 1)
+    spread = lambda c: F.explode(F.array(*[F.struct(F.lit(j).alias("block"), part(F.col(c), j).alias("at")) for j in range(blocks)])).alias("x")
+    index = cut(levels.select("signature", "n", spread("signature")).select("x.block", "x.at", "signature", "n"))
+    near = None
+    for s in range(width + 1):
+        turned = F.array(*[F.lit(m) for m in range(1 << width) if m.bit_count() <= s])
+        probes = left.select("s", spread("s")).select("s", "x.block", F.explode(F.transform(turned, lambda m: F.col("x.at").bitwiseXOR(m.cast("long")))).alias("at"))
+        met = probes.join(index, ["block", "at"]).select("s", "signature", "n").distinct().withColumn("d", F.bit_count(F.col("s").bitwiseXOR(F.col("signature"))))
+        met = met if s == width else met.where(F.col("d") < blocks * (s + 1))
+        w = W.partitionBy("s").orderBy("d").rowsBetween(W.unboundedPreceding, W.currentRow)
+        per = met.groupBy("s", "d").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(w))
+        reach = per.groupBy("s").agg(F.min(F.when(F.col("upto") > candidates, F.col("d"))).alias("r"), F.max("d").alias("all"))
+        reach = reach.select("s", F.coalesce("r", "all") if s == width else F.col("r")).toDF("s", "r").where("r IS NOT NULL")
+        found = cut(met.join(reach, "s").where(F.col("d") <= F.col("r")).select("s", "signature", "d"))
+        near = found if near is None else near.union(found)
+        left = cut(left.join(found.select("s").distinct(), "s", "left_anti"))
+        if left.isEmpty():
+            break
+    least = one.withColumn("k", F.row_number().over(W.partitionBy("signature").orderBy("id"))).where(F.col("k") <= candidates + 1).drop("k")
+    pairs = asked.select(F.col("id").alias("query"), F.col("signature").alias("s")).join(near, "s").join(least, "signature").where("id <> query")
+    top = pairs.withColumn("k", F.row_number().over(W.partitionBy("query").orderBy("d", "id"))).where(F.col("k") <= candidates)
     both = top.join(vectors, "id").join(vectors.select(F.col("id").alias("query"), F.col("v").alias("x")), "query")
     return both.select("query", "id", dot("x", "v").alias("similarity")).where(F.col("similarity") >= threshold)
 
@@ -252,10 +285,35 @@ def density_clusters(ids: DataFrame, pairs: DataFrame, min_samples: int) -> Data
 
 
 def pooled_chunks(chunks: DataFrame) -> DataFrame:
-    """(id, v): mean of the vectors (id, v) of a text's chunks, scaled to length one."""
-    each = chunks.select("id", F.posexplode("v").alias("p", "x")).groupBy("id", "p").agg(F.avg("x").alias("x"))
-    mean = each.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("v"))
-    return unit(mean, "id", "v")
+    """(id, v): mean of the vectors (id, v) of a text's chunks, scaled to length one; null vectors count for nothing. One scan
+    of the chunks in the order of their texts, which holds one sum."""
+    kind = chunks.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total, n = None, None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, x = b.column("id"), b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
+            new = np.ones(len(ids), bool)
+            if len(ids) > 1:
+                new[1:] = ~pc.equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new)
+            sums, counts = np.add.reduceat(x, starts), np.diff(np.append(starts, len(ids)))
+            names = ids.take(pa.array(starts))
+            if held is not None and names[0].equals(held[0]):
+                sums[0] += total
+                counts[0] += n
+            elif held is not None:
+                yield pa.RecordBatch.from_arrays([held, pa.array([list(total / n)], pa.list_(pa.float64()))], names=["id", "v"])
+            if len(starts) > 1:
+                yield pa.RecordBatch.from_arrays([names.slice(0, len(starts) - 1), pa.array(list(sums[:-1] / counts[:-1, None]), pa.list_(pa.float64()))], names=["id", "v"])
+            held, total, n = names.slice(len(starts) - 1), sums[-1], int(counts[-1])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([held, pa.array([list(total / n)], pa.list_(pa.float64()))], names=["id", "v"])
+
+    rows = chunks.select("id", F.col("v").cast("array<double>").alias("v")).where("id IS NOT NULL AND size(v) > 0")
+    return unit(rows.repartition("id").sortWithinPartitions("id").mapInArrow(run, f"id {kind}, v array<double>"), "id", "v")
 
 
 def embed(texts: DataFrame, text: str, encode: Callable[[list[str]], np.ndarray], size: int = 256) -> DataFrame:

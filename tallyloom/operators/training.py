@@ -6,7 +6,6 @@ from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassif
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.operators.records import numbered
@@ -27,24 +26,36 @@ def _order(key: str, seed: int) -> list[Column]:
 
 
 def stratified_split(rows: DataFrame, key: str = "author", parts: tuple[float, float] = (0.7, 0.15), seed: int = 42) -> DataFrame:
-    """rows with split: train, validation or test, in the given parts of each class (test the rest), by order of hash."""
-    w = W.partitionBy("y")
-    k = F.row_number().over(w.orderBy(*_order(key, seed)))
-    n = F.count(F.lit(1)).over(w)
-    return rows.withColumn("split", F.when(k <= F.round(n * parts[0]), "train").when(k <= F.round(n * (parts[0] + parts[1])), "validation").otherwise("test"))
+    """rows with split: train, validation or test, in the given parts of each class (test the rest), by order of hash. Rows
+    without a class are one of their own."""
+    placed, sizes = _placed(rows, key, seed)
+    at = lambda x: x.cast("double")
+    many = F.lit(0)
+    for y, n in sizes.items():
+        many = F.when(F.col("y_") == y, n).otherwise(many)
+    split = F.when(F.col("place") <= F.round(at(many) * parts[0]), "train").when(F.col("place") <= F.round(at(many) * (parts[0] + parts[1])), "validation").otherwise("test")
+    return placed.withColumn("split", split).drop("place", "y_")
+
+
+def _placed(rows: DataFrame, key: str, seed: int) -> tuple[DataFrame, dict]:
+    """rows with place, from 1 in each class y_ (y as a text) in the order of hash, found by ranges of the hash; and the classes'
+    sizes, of which there are as many as classes."""
+    named = rows.withColumn("y_", F.coalesce(F.col("y").cast("string"), F.lit("")))
+    sizes = {r["y_"]: r["n"] for r in named.groupBy("y_").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return numbered(named, _order(key, seed), within=("y_",)), sizes
 
 
 def balanced_split(rows: DataFrame, per_class: int, test_share: float = 0.1, key: str = "author", seed: int = 42) -> DataFrame:
     """rows with split: of each class up to per_class to train (equal numbers); of the others a test with test_share of class 1 as
     far as numbers allow; the rest is unused."""
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    placed, sizes = _placed(rows.withColumn("y", F.col("y").cast("int")), key, seed)
+    counts = {int(y): n for y, n in sizes.items() if y}
     take = min([per_class, *[counts.get(y, 0) * 4 // 5 for y in (0, 1)]])
     left1, left0 = counts.get(1, 0) - take, counts.get(0, 0) - take
     test1 = min(left1, int(left0 * test_share / (1 - test_share)))
     test0 = min(left0, round(test1 * (1 - test_share) / test_share)) if test1 else left0
-    k = F.row_number().over(W.partitionBy("y").orderBy(*_order(key, seed)))
-    upto = F.when(F.col("y") == 1, take + test1).otherwise(take + test0)
-    return rows.withColumn("k_", k).withColumn("split", F.when(F.col("k_") <= take, "train").when(F.col("k_") <= upto, "test").otherwise("unused")).drop("k_")
+    upto = F.when(F.col("y") == 1, take + test1).when(F.col("y") == 0, take + test0).otherwise(0)
+    return placed.withColumn("split", F.when(F.col("y").isin(0, 1) & (F.col("place") <= take), "train").when(F.col("place") <= upto, "test").otherwise("unused")).drop("place", "y_")
 
 
 def impute(rows: DataFrame, columns: list[str], fit_on: Column) -> DataFrame:

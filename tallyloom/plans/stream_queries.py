@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as X
 from tallyloom.schema import COMMENT
+from tallyloom.session import scratch
 from tallyloom.streaming.replies import stream_counts
 
 
@@ -18,10 +19,16 @@ def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
     source = spark.readStream.schema(COMMENT)
     rows = source.parquet(path) if os.path.isdir(path) else source.option("pathGlobFilter", "comments.parquet").parquet(d)
     rows = rows.select("created_utc", X.community("subreddit").alias("subreddit")).where("subreddit IS NOT NULL")
-    name = f"daily_{abs(hash(d)) % 10**8}"
-    query = stream_counts(rows, "subreddit").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    found, states = scratch(spark, "daily"), scratch(spark, "states")
+    latest = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{found}/{number}")
+        latest.append(number)
+
+    query = stream_counts(rows, "subreddit").writeStream.outputMode("complete").option("checkpointLocation", states).foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name).select("subreddit", F.col("start_utc").cast("long").alias("start_utc"), "n")
+    return spark.read.parquet(f"{found}/{max(latest)}").select("subreddit", F.col("start_utc").cast("long").alias("start_utc"), "n")
 
 
 _S = "'" + X.SPACES + "'"

@@ -31,10 +31,18 @@ LABELED_PAIR = _struct("text_a string, text_b string, label int, pair_id string,
 RANK = _struct("rank int, bot_name string, score double, good_votes bigint, bad_votes bigint, comment_karma bigint, link_karma bigint")
 _MEDIA = _struct("oembed struct", oembed=_struct("url string, thumbnail_url string"))
 _IMAGE = _struct("source struct", source=_struct("url string"))
-EXTRAS = _struct(
-    "preview struct, media struct, secure_media struct, media_metadata map",
-    preview=_struct("images array", images=T.ArrayType(_IMAGE)),
-    media=_MEDIA,
-    secure_media=_MEDIA,
-    media_metadata=T.MapType(T.StringType(), _struct("s struct", s=_struct("u string, url string"))),
-)
+_EXTRA = {
+    "preview": _struct("images array", images=T.ArrayType(_IMAGE)),
+    "media": _MEDIA,
+    "secure_media": _MEDIA,
+    "media_metadata": T.MapType(T.StringType(), _struct("s struct, p string", s=_struct("u string, url string"))),  # p is an object or a list, kept as text
+}
+
+
+def linked(depth: int = 3) -> T.StructType:
+    """Submissions with the nested columns that hold links, and the records they were cross-posted from, so many deep."""
+    own = list(SUBMISSION.fields) + [T.StructField(n, t) for n, t in _EXTRA.items()]
+    return T.StructType(own + ([T.StructField("crosspost_parent_list", T.ArrayType(linked(depth - 1)))] if depth else []))
+
+
+EXTRAS = T.StructType([T.StructField(n, t) for n, t in _EXTRA.items()])

@@ -49,14 +49,15 @@ def stream_adjacent(comments: DataFrame, seconds: int, lateness: str = "10 minut
             return
         last = state.get if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["created_utc", "id"])
-        out = []
-        for author, t in zip(rows["author"], rows["created_utc"]):
-            if last is not None and author != last[0] and 0 <= int(t - last[1]) <= seconds:
-                out.append((key[0], last[0], author, int(t - last[1])))
-            last = (author, float(t))
+        before, then = rows["author"].shift(), rows["created_utc"].shift()
+        if last is not None:
+            before.iat[0], then.iat[0] = last
+        delta = (rows["created_utc"] - then).fillna(-1.0)
+        near = before.notna() & (before != rows["author"]) & (delta > -1) & (delta < seconds + 1)
+        last = (rows["author"].iat[-1], float(rows["created_utc"].iat[-1]))
         state.update(last)
         state.setTimeoutTimestamp(max(int((last[1] + idle) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["thread", "previous_author", "author", "delta_seconds"])
+        yield pd.DataFrame({"thread": key[0], "previous_author": before, "author": rows["author"], "delta_seconds": delta.astype("int32")})[near]
 
     rows = with_event_time(comments, lateness).where("thread IS NOT NULL AND author IS NOT NULL").select("thread", "author", "created_utc", "id", "ts")
     return rows.groupBy("thread").applyInPandasWithState(follow, "thread string, previous_author string, author string, delta_seconds int", "author string, created_utc double", "append", GroupStateTimeout.EventTimeTimeout)

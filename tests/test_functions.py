@@ -35,14 +35,14 @@ def test_domains_and_normal_form(spark):
     urls = ["https://www.wikipedia.org/a", "http://WWW.Example.test:80/x?y#z", "nothing", "https://user@w.test"]
     assert apply(spark, U.domain_by_set("x"), urls) == ["ikipedia.org", "example.test:80", "", "user@w.test"]
     assert apply(spark, U.domain_by_prefix("x"), urls) == ["wikipedia.org", "example.test:80", "", "user@w.test"]
-    assert apply(spark, U.normal_url("x"), ["HTTPS://www.A.test/P/q/?a=1#f", "http://b.test", "http://c.test/p;v=1?x"]) == ["https://a.test/P/q", "http://b.test", "http://c.test/p"]
+    assert apply(spark, U.normal_url("x"), ["HTTPS://www.A.test/P/q/?a=1#f", "http://b.test", "http://c.test/p;v=1?x", "/r/a/comments/1/", "foo.example/x", "//www.h.test/y", "mailto:x@y", None]) == ["https://a.test/P/q", "http://b.test", "http://c.test/p", "http:///r/a/comments/1", "http:foo.example/x", "http://h.test/y", "mailto:x@y", None]
 
 
 def test_urls_of_records_and_tokens(spark):
     df = spark.createDataFrame([("https://a.test/1", None, "t https://b.test/2", "")], "url string, url_overridden_by_dest string, title string, selftext string")
-    assert df.select(U.record_urls({c: "string" for c in df.columns})).first()[0] == ["https://a.test/1", "https://b.test/2"]
+    assert df.select(U.record_urls(df.schema)).first()[0] == ["https://a.test/1", "https://b.test/2"]
     nested = spark.range(1).select(F.expr("struct(array(struct(struct('https://p.test' AS url) AS source)) AS images) AS preview"), F.expr("struct(struct(cast(null AS string) AS url, 'https://t.test' AS thumbnail_url) AS oembed) AS media"), F.expr("map('k', struct(struct('https://m.test' AS u, '' AS url) AS s)) AS media_metadata"))
-    assert nested.select(U.record_urls({c: "" for c in nested.columns})).first()[0] == ["https://p.test", "https://t.test", "https://m.test"]
+    assert nested.select(U.record_urls(nested.schema)).first()[0] == ["https://p.test", "https://t.test", "https://m.test"]
     tokens = U.post_tokens("domain", F.lit("u"), F.lit(None), F.lit("WWW.a.test"), F.col("x"))
     assert apply(spark, tokens, ["https://www.a.test/q https://b.test/r", None]) == [["a.test", "b.test"], ["a.test"]]
 
@@ -85,3 +85,16 @@ def test_differential_entropy(spark, values, expected):
 def test_entropy_of_large_samples(spark):
     got = apply(spark, Y.differential_entropy(F.col("x")), [[i / 2000 for i in range(2000)]], "array<double>")[0]
     assert abs(got) < 0.1
+
+
+def test_urls_of_cross_posts_and_galleries(spark):
+    from tallyloom.schema import linked
+    from tallyloom.sources.files import parse_lines
+
+    gallery = '{"a": {"s": {"u": "https://g.test/1"}}, "b": {"p": {"u": "https://g.test/2"}}, "c": {"p": [{"u": "https://g.test/3"}]}}'
+    third = '{"url": "https://c.test/3", "selftext": null}'
+    second = '{"title": "see https://c.test/2", "crosspost_parent_list": [%s]}' % third
+    line = '{"id": "1", "url": "https://c.test/0", "media_metadata": %s, "crosspost_parent_list": [{"media": {"oembed": {"url": "", "thumbnail_url": "https://c.test/1"}}, "crosspost_parent_list": [%s]}]}' % (gallery, second)
+    rows = parse_lines(spark.createDataFrame([(line,), ('{"id": "2"}',)], "value string"), linked())
+    got = {r["id"]: r["u"] for r in rows.select("id", U.record_urls(linked()).alias("u")).collect()}
+    assert got == {"1": ["https://c.test/0", "https://g.test/1", "https://g.test/2", "https://c.test/1", "https://c.test/2", "https://c.test/3"], "2": []}

@@ -94,6 +94,16 @@ def test_sessions_long_chain_across_slots(small_batches):
     assert [(r["start"], r["end"], r["n"]) for r in got] == [(0.0, 1700.0 * 199 + 1800.0, 201)]
 
 
+def test_sessions_exact_gap_beside_fractions(spark):
+    """Pieces exactly the gap apart across a slot's edge stay one, whatever fractions other times in the batch have."""
+    rows = [(f"e{i:04d}", 86400.0 * (i % 40 + 1) - 900.0) for i in range(800)]
+    rows += [(e, t + 1800.0) for e, t in rows] + [(f"f{i:04d}", 86400.0 * (i % 40 + 1) - i / 7.0) for i in range(800)]
+    df = spark.createDataFrame(rows + [("nan", float("nan")), ("inf", float("inf")), ("none", None)], "entity string, time double")
+    for slot in (86400.0, 1e9):
+        got = sessions(df, "entity", "time", 1800.0, slot).collect()
+        assert len(got) == 1600 and all(r["n"] == 2 and r["duration"] == 1800.0 for r in got if r["entity"][0] == "e")
+
+
 def test_sessions_empty(spark):
     assert sessions(spark.createDataFrame([], EVENTS), "entity", "time").count() == 0
 
@@ -126,6 +136,24 @@ def test_balanced_matching_side(spark):
     assert balanced(rows, "author", "record", plan, right, "left").count() == 103
 
 
+def test_matching_side_keeps_the_placement(spark):
+    """With broadcasts off, nothing but the placement by task number is exchanged, and a hot key's shards are even."""
+    rng = random.Random(8)
+    rows = spark.createDataFrame([("hot" if rng.random() < 0.5 else f"k{rng.randrange(40)}", i) for i in range(4000)], "author string, record int")
+    side = spark.createDataFrame([(a, j) for a in ("hot", *(f"k{i}" for i in range(40))) for j in range(2)], "author string, v int")
+    plan = placement(rows.groupBy(F.col("author").alias("key")).agg(F.count(F.lit(1)).alias("load")), tasks=8)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = balanced(rows, "author", "record", plan, side, "left").withColumn("part", F.spark_partition_id())
+        loads = {r["part"]: r["count"] for r in joined.groupBy("part").count().collect()}
+        text = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert text.count("shufflepartitionidpassthrough") >= 2 and "hashpartitioning" not in text and "BroadcastExchange" not in text
+    assert sum(loads.values()) == 8000 and len(loads) == 8 and max(loads.values()) < 1.5 * 1000
+
+
 def test_placement_of_nothing(spark):
     plan = placement(spark.createDataFrame([], "key string, load long"), tasks=4)
     assert plan.large == {} and sum(plan.loads) == 0

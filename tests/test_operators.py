@@ -187,6 +187,66 @@ def test_reply_modes_and_activity(spark):
     assert got["a"]["account_age_days"] == 2.0 and got["a"]["comments_per_day"] == 1.0 and got["b"]["account_age_days"] == 0.0
 
 
+def brute_entropy(x):
+    x = sorted(x)
+    n = len(x)
+    m = math.floor(math.sqrt(n) + 0.5)
+    gap = [x[min(i + m, n - 1)] - x[max(i - m, 0)] for i in range(n)]
+    return sum(math.log(n / (2 * m) * g) if g > 0 else float("-inf") for g in gap) / n
+
+
+def test_statistics_of_large_samples(spark, monkeypatch):
+    """Samples beyond what one row may hold are ranked by ranges; ties, hot values and nulls."""
+    rng = random.Random(2)
+    rows = [("hot", rng.expovariate(1.0)) for _ in range(3000)] + [("ties", float(rng.randrange(400))) for _ in range(1500)] + [("flat", 7.0 if i % 3 else float(i)) for i in range(1200)] + [("few", float(i * i)) for i in range(30)] + [("none", None)]
+    got = {r["k"]: r for r in G.sample_statistics(spark.createDataFrame(rows, "k string, x double").repartition(7), ("k",), "x").collect()}
+    by = {}
+    for k, v in rows:
+        by.setdefault(k, []).append(v)
+    for k in ("hot", "ties"):
+        assert math.isclose(got[k]["entropy"], brute_entropy(by[k]), rel_tol=1e-9), k
+        assert math.isclose(got[k]["mean"], float(np.mean(by[k])), rel_tol=1e-9) and math.isclose(got[k]["variance"], float(np.var(by[k], ddof=1)), rel_tol=1e-9)
+    assert got["flat"]["entropy"] == float("-inf") and got["few"]["entropy"] is not None and got["none"]["mean"] is None and got["none"]["entropy"] is None
+
+
+def test_gaps_do_not_depend_on_slots(spark):
+    rng = random.Random(3)
+    rows = [("a" if rng.random() < 0.7 else "b", rng.choice([0.0, None, 5.0, 5.0, rng.uniform(1, 9e5)])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "author string, created_utc double")
+    want = {}
+    for a, t in rows:
+        if t:
+            want.setdefault(a, []).append(t)
+    want = {a: sorted(y - x for x, y in zip(sorted(t), sorted(t)[1:])) for a, t in want.items()}
+    for slot in (50.0, 86400.0, 1e9):
+        got = {}
+        for r in G.gaps(df, slot=slot).collect():
+            got.setdefault(r["author"], []).append(r["gap"])
+        assert {a: sorted(g) for a, g in got.items()} == want, slot
+
+
+def test_hamming_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    x = vectors(120, 10, 6)
+    x[60:90] = x[5]  # one signature for a quarter of all rows
+    df = V.unit(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "k long, e array<double>"), "k", "e")
+    signs = V.signatures(df, 10, 16, 1)
+    sig = {r["id"]: r["signature"] for r in signs.collect()}
+    for k in (3, 40, 500):
+        want = set()
+        for q in range(0, 120, 7):
+            near = sorted((i for i in sig if i != q), key=lambda i: ((sig[q] ^ sig[i]).bit_count(), i))[:k]
+            want |= {(q, i) for i in near if x[q] @ x[i] >= 0.3}
+        got = {(r["query"], r["id"]) for r in V.hamming_pairs(df, signs, 0.3, k, F.col("id") % 7 == 0, bits=16, blocks=4).collect()}
+        assert got == want, k
+
+
+def test_first_by_keeps_every_key(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", "2020", None), ("a", "2021", 5), ("b", None, None), ("c", "x", 2), ("c", "x", 1), (None, "x", 1)], "id string, p string, s int")
+    assert {tuple(r) for r in J.first_by(df, "id", ["p", "s"]).collect()} == {("a", "2020", None), ("b", None, None), ("c", "x", 1)}
+    assert {tuple(r) for r in J.first_by(df, "id", ["p", "s"], last=True).collect()} == {("a", "2021", 5), ("b", None, None), ("c", "x", 2)}
+
+
 def test_labels(spark):
     stats = spark.createDataFrame([("news-bot", 9), ("Ann", 5), ("few", 1), ("boots", 5)], "author string, total_posts int")
     ranked = spark.createDataFrame([("ANN", 0.95), ("ann", 0.2)], "author string, score double")
