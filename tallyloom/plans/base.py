@@ -48,3 +48,17 @@ def sql_records(name: str, view: str, *columns: str) -> str:
     exprs = ", ".join(f"{_SQL.get(c, c)} AS {c}_" for c in columns)
     order = ", ".join(["source_period NULLS LAST", "score NULLS LAST", *(f"{c}_ NULLS LAST" for c in columns)])
     return f"{view} AS (SELECT id, {', '.join(f'{c}_ AS {c}' for c in columns)} FROM (SELECT id, source_period, score, {exprs} FROM {name} WHERE id IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY {order}) = 1)"
+
+
+def planted(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows that no generated table has, for rules that fire rarely."""
+    return spark.createDataFrame(rows, schema)
+
+
+def sql_planted(rows: list[tuple], schema: str) -> str:
+    """The same rows as a SQL relation."""
+    text = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
+    columns = [c.split() for c in schema.split(", ")]
+    values = ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
+    picked = ", ".join(f"CAST({n} AS {'VARCHAR' if t == 'string' else t}) AS {n}" for n, t in columns)
+    return f"(SELECT {picked} FROM (VALUES {values}) AS v({', '.join(n for n, _ in columns)}))"

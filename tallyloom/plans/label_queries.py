@@ -13,7 +13,7 @@ from tallyloom.operators import training as M
 from tallyloom.operators.records import numbered
 from tallyloom.operators.timing import bare_id
 from tallyloom.plans import feature_queries
-from tallyloom.plans.base import comments, sql_author, sql_records, submissions
+from tallyloom.plans.base import comments, planted, sql_author, sql_planted, sql_records, submissions
 from tallyloom.session import cut, table
 
 LEAST_POSTS, SURE = 3, 0.9
@@ -34,12 +34,27 @@ def _posts(spark: SparkSession, d: str) -> DataFrame:
     return c.union(s).where("author IS NOT NULL")
 
 
+# The generated tables hold no names or phrases of automated accounts, so some are planted.
+_NAME_ROWS = [(n,) for n in ("bot", "Bot", "news-bot", "newsbot", "link_bot", "bot_x", "a_bot_b", "bottom", "iron_mod", "the mod", "AutoTLDR", "auto-mat", "botswana", "my.bot", "mod")]
+_PHRASE_ROWS = [("zp1", "I am a bot, beep."), ("zp2", "i'm a bottom"), ("zp3", "BEEP BOOP"), ("zp4", "This action was performed automatically."), ("zp5", "an automatic response"), ("zp6", None), ("zp7", "no I'm a bot\nreally"), ("zp8", "I am a both")]
+
+
+def _patterns(authors: DataFrame) -> DataFrame:
+    return authors.select("author").distinct().select("author", R.name_pattern("author", R.NOT_BOTS).alias("pattern")).where("pattern IS NOT NULL")
+
+
 def name_patterns(spark: SparkSession, d: str) -> DataFrame:
-    return _posts(spark, d).select("author").distinct().select("author", R.name_pattern("author", R.NOT_BOTS).alias("pattern")).where("pattern IS NOT NULL")
+    return _patterns(_posts(spark, d).select("author").union(planted(spark, _NAME_ROWS, "author string")))
+
+
+def name_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The labelling rules on every name, and the reason."""
+    names = _posts(spark, d).select("author").union(planted(spark, _NAME_ROWS, "author string")).distinct()
+    return names.select("author", R.name_label("author", R.NOT_BOTS).alias("x")).select("author", "x.label", "x.reason")
 
 
 def phrase_matches(spark: SparkSession, d: str) -> DataFrame:
-    rows = comments(spark, d, "body")
+    rows = comments(spark, d, "body").unionByName(planted(spark, _PHRASE_ROWS, "id string, body string"))
     return rows.where(R.has_phrase("body")).select("id", R.has_phrase("body", R.DIAGNOSIS_PHRASES).alias("in_diagnosis"))
 
 
@@ -66,7 +81,7 @@ def false_positive_diagnosis(spark: SparkSession, d: str) -> DataFrame:
 
 def label_list_changes(spark: SparkSession, d: str) -> DataFrame:
     bots = rule_labels(spark, d).where("y = 1")
-    return L.compare_lists(name_patterns(spark, d), bots).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+    return L.compare_lists(_patterns(_posts(spark, d)), bots).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
 def semi_join_authors(spark: SparkSession, d: str) -> DataFrame:
@@ -249,10 +264,13 @@ f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FRO
 
 _LV = "lv AS (SELECT score, sum(y) AS pos, sum(1 - y) AS neg FROM sc GROUP BY 1), cu AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS pp, sum(neg) OVER () AS nn FROM lv WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))"
 
-QUERIES = {f.__name__: f for f in (name_patterns, phrase_matches, bot_authors, human_authors, rule_labels, label_summary, false_positive_diagnosis, label_list_changes, semi_join_authors, anti_join_authors, comments_of_known_posts, wanted_parents, author_merge, dedup_first, upsert_last, author_set_check, sampled_authors, quota_sample_by_period, bernoulli_comments, named_bot_exclusion, community_merge, ranked_communities, column_profile, correlation_pairs, null_rates, threshold_sweep, binary_metrics, curve_points, prepared_features, model_metrics)}
+QUERIES = {f.__name__: f for f in (name_patterns, name_labels, phrase_matches, bot_authors, human_authors, rule_labels, label_summary, false_positive_diagnosis, label_list_changes, semi_join_authors, anti_join_authors, comments_of_known_posts, wanted_parents, author_merge, dedup_first, upsert_last, author_set_check, sampled_authors, quota_sample_by_period, bernoulli_comments, named_bot_exclusion, community_merge, ranked_communities, column_profile, correlation_pairs, null_rates, threshold_sweep, binary_metrics, curve_points, prepared_features, model_metrics)}
 SQL = {
-    "name_patterns": f"{_ALL} SELECT * FROM (SELECT author, {_sql_pattern('author', True)} AS pattern FROM (SELECT DISTINCT author FROM po)) WHERE pattern IS NOT NULL",
-    "phrase_matches": f"WITH {sql_records('comments', 'c0', 'body')} SELECT id, {_sql_phrase('body', R.DIAGNOSIS_PHRASES)} AS in_diagnosis FROM c0 WHERE {_sql_phrase('body', R.PHRASES)}",
+    "name_patterns": f"{_ALL} SELECT * FROM (SELECT author, {_sql_pattern('author', True)} AS pattern FROM (SELECT author FROM po UNION SELECT author FROM {sql_planted(_NAME_ROWS, 'author string')})) WHERE pattern IS NOT NULL",
+    "name_labels": f"""{_ALL}, n AS (SELECT author, lower(author) AS low FROM (SELECT author FROM po UNION SELECT author FROM {sql_planted(_NAME_ROWS, 'author string')})),
+r AS (SELECT author, CASE WHEN low = 'bot' THEN 'exact' WHEN regexp_matches(low, '\\bbot\\b') AND low NOT IN ({_NOT}) THEN 'whole word bot' WHEN starts_with(author, 'Auto') THEN 'starts with Auto' WHEN regexp_matches(low, '\\bauto\\b') THEN 'whole word auto' WHEN regexp_matches(low, '\\bmod\\b') THEN 'whole word mod' WHEN regexp_matches(low, '(^bot_|_bot$|_bot_)') THEN 'parted bot' END AS why FROM n)
+SELECT author, CASE WHEN why IS NULL THEN 'human' ELSE 'bot' END AS label, coalesce(why, 'no pattern') AS reason FROM r""",
+    "phrase_matches": f"WITH {sql_records('comments', 'c1', 'body')}, c0 AS (SELECT id, body FROM c1 UNION ALL SELECT id, body FROM {sql_planted(_PHRASE_ROWS, 'id string, body string')}) SELECT id, {_sql_phrase('body', R.DIAGNOSIS_PHRASES)} AS in_diagnosis FROM c0 WHERE {_sql_phrase('body', R.PHRASES)}",
     "bot_authors": f"{_ALL}, {_MATCH} SELECT author, count(*) AS n_posts FROM ma WHERE hit GROUP BY 1 HAVING count(*) >= {LEAST_POSTS}",
     "human_authors": f"{_ALL}, {_MATCH} SELECT author, count(*) AS n_posts FROM ma WHERE NOT hit GROUP BY 1 HAVING count(*) >= {LEAST_POSTS}",
     "rule_labels": f"{_ALL}, {_STATS} SELECT * FROM lb",

@@ -7,21 +7,44 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.operators import timing as T
-from tallyloom.plans.base import comments, sql_records, submissions
+from tallyloom.operators.records import numbered
+from tallyloom.plans.base import comments, planted, sql_planted, sql_records, submissions
 
-# The threads of the test tables are slow; dumps are searched with 10 seconds and 3 to 5 events.
+# The threads of the test tables are slow; dumps are searched with FAST_SECONDS and FAST_LEAST to FAST_EVENTS events, for which a
+# thread of fast replies is planted.
+FAST_SECONDS, FAST_LEAST, FAST_EVENTS, FAST_THREADS = 10, 3, 5, 3
 SIBLING_SECONDS, SIBLING_LEAST = 86400, 1
 RESPONSE_SECONDS, RESPONSE_LEAST, RESPONSE_THREADS = 86400, 1, 1
 DIRECT_SECONDS, DIRECT_LEAST = 3600, 1
 PER_AUTHOR = 100
 _COLUMNS = ("author", "subreddit", "created_utc", "link_id", "parent_id")
+_FAST_SCHEMA = "id string, author string, subreddit string, created_utc double, link_id string, parent_id string"
+# Per thread i: a comment, two quick answers to it by two authors (the later one at the very edge, or half a second within it or beyond), and one by its own author.
+_FAST_ROWS = [
+    row
+    for i in range(7)
+    for row in (
+        (f"zf{i}a", f"planted_{i % 2}", "planted", 1000.0 * i + 1, f"t3_zt{i}", f"t3_zt{i}"),
+        (f"zf{i}b", "planted_quick", "planted", 1000.0 * i + 5, f"t3_zt{i}", f"t1_zf{i}a"),
+        (f"zf{i}c", "planted_echo", "planted", 1000.0 * i + 15 + (0.0, 0.5, 1.5)[i % 3], f"t3_zt{i}", f"t1_zf{i}a"),
+        (f"zf{i}d", f"planted_{i % 2}", "planted", 1000.0 * i + 40, f"t3_zt{i}", f"t1_zf{i}a"),
+    )
+]
 
 
 def _comments(spark: SparkSession, d: str) -> DataFrame:
-    rows = comments(spark, d, *_COLUMNS).where("author IS NOT NULL AND created_utc IS NOT NULL")
+    return _shaped(comments(spark, d, *_COLUMNS).where("author IS NOT NULL AND created_utc IS NOT NULL"))
+
+
+def _shaped(rows: DataFrame) -> DataFrame:
     return rows.withColumn("parent", T.bare_id("parent_id")).withColumn("thread", T.bare_id("link_id")).withColumn("parent_type", T.parent_type("parent_id"))
 
 
+def _with_fast(spark: SparkSession, d: str) -> DataFrame:
+    rows = comments(spark, d, *_COLUMNS).unionByName(planted(spark, _FAST_ROWS, _FAST_SCHEMA)).where("author IS NOT NULL AND created_utc IS NOT NULL")
+    return _shaped(rows)
+
+
 def _siblings(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
     posts = submissions(spark, d, "subreddit").select(F.col("id").alias("parent"), F.col("subreddit").alias("post_subreddit"))
     near = T.sibling_replies(_comments(spark, d) if rows is None else rows, SIBLING_SECONDS)
@@ -42,10 +65,22 @@ def fast_sibling_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fast_sibling_comment_rollup(spark: SparkSession, d: str) -> DataFrame:
-    """Only replies to comments."""
-    rows = T.sibling_replies(_comments(spark, d).where("parent_type = 'comment'"), SIBLING_SECONDS)
+    """Only replies to comments, by the numbers that dumps are searched with: most pairs first."""
+    rows = T.sibling_replies(_with_fast(spark, d).where("parent_type = 'comment'"), FAST_SECONDS)
     rows = rows.select(F.least("author_a", "author_b").alias("author_a"), F.greatest("author_a", "author_b").alias("author_b"), "delta_seconds")
-    return T.pair_rollup(rows, ["author_a", "author_b"], SIBLING_LEAST)
+    return T.pair_rollup(rows, ["author_a", "author_b"], FAST_LEAST)
+
+
+def fast_responders_listed(spark: SparkSession, d: str) -> DataFrame:
+    """Responders by the numbers that dumps are searched with, in the order of a report: most events, then most threads, then
+    least mean delay, then name."""
+    found = T.responder_accounts(T.adjacent_responses(_with_fast(spark, d), "thread", FAST_SECONDS), FAST_EVENTS, FAST_THREADS)
+    return numbered(found, [F.desc("events"), F.desc("threads"), F.col("avg_delta"), F.col("responder_author")])
+
+
+def fast_direct_accounts(spark: SparkSession, d: str) -> DataFrame:
+    """Accounts that answer directly, by the numbers that dumps are searched with."""
+    return T.pair_rollup(T.direct_replies(_with_fast(spark, d), FAST_SECONDS), ["child_author"], FAST_LEAST)
 
 
 def fast_adjacent_responses(spark: SparkSession, d: str) -> DataFrame:
@@ -99,10 +134,13 @@ c AS (SELECT *, regexp_replace(parent_id, '^t[123]_', '') AS parent, regexp_repl
 _P = sql_records("submissions", "p", "subreddit", "author", "created_utc")
 
 
-def _pairs(where: str) -> str:
+_ON_COMMENTS = "AND a.parent_type = 'comment' AND b.parent_type = 'comment'"
+
+
+def _pairs(where: str, seconds: int = SIBLING_SECONDS) -> str:
     return f"""near AS (SELECT a.parent, a.author AS author_a, b.author AS author_b, a.id AS id_a, b.id AS id_b, b.created_utc AS tb, a.subreddit,
   CAST(trunc(b.created_utc - a.created_utc) AS INT) AS delta_seconds
-  FROM c a JOIN c b ON a.parent = b.parent AND a.author <> b.author AND (a.created_utc, a.id) < (b.created_utc, b.id) AND trunc(b.created_utc - a.created_utc) <= {SIBLING_SECONDS} {where})"""
+  FROM c a JOIN c b ON a.parent = b.parent AND a.author <> b.author AND (a.created_utc, a.id) < (b.created_utc, b.id) AND trunc(b.created_utc - a.created_utc) <= {seconds} {where})"""
 
 
 _NEAR = _pairs("") + ", known AS (SELECT near.*, CASE WHEN p.id IS NOT NULL THEN 'post' ELSE 'comment' END AS content_type, coalesce(p.subreddit, near.subreddit) AS sub FROM near LEFT JOIN p ON p.id = near.parent)"
@@ -119,7 +157,9 @@ e AS (SELECT thread AS thread_id, subreddit, author AS responder_author, pa AS p
 _DIRECT = f"""r0 AS (SELECT a.author AS child_author, b.author AS parent_author, b.id AS parent_comment_id, a.id AS child_comment_id, a.thread AS root_post_id, a.subreddit, CAST(trunc(a.created_utc - b.created_utc) AS INT) AS delta_seconds
   FROM c a JOIN c b ON a.parent = b.id WHERE a.author <> b.author AND trunc(a.created_utc - b.created_utc) BETWEEN 0 AND {DIRECT_SECONDS})"""
 
-QUERIES = {f.__name__: f for f in (fast_sibling_pairs, fast_sibling_rollup, fast_sibling_comment_rollup, fast_adjacent_responses, fast_responder_accounts, direct_parent_replies, direct_reply_accounts, reply_deltas, recent_n_per_author, post_comment_counts)}
+_FAST = f"""WITH {sql_records('comments', 'c1', *_COLUMNS)}, c0 AS (SELECT id, author, subreddit, created_utc, link_id, parent_id FROM c1 UNION ALL SELECT id, author, subreddit, created_utc, link_id, parent_id FROM {sql_planted(_FAST_ROWS, _FAST_SCHEMA)}){_C[_C.index(","  + chr(10) + "c AS"):]}"""
+
+QUERIES = {f.__name__: f for f in (fast_sibling_pairs, fast_sibling_rollup, fast_sibling_comment_rollup, fast_responders_listed, fast_direct_accounts, fast_adjacent_responses, fast_responder_accounts, direct_parent_replies, direct_reply_accounts, reply_deltas, recent_n_per_author, post_comment_counts)}
 SQL = {
     "fast_sibling_pairs": f"WITH {_C}, {_P}, {_NEAR} SELECT author_a, author_b, parent AS content_id, content_type, delta_seconds, id_a AS comment_a_id, id_b AS comment_b_id, sub AS subreddit FROM known",
     "fast_sibling_rollup": f"""WITH {_C}, {_P}, {_NEAR}, k AS (SELECT least(author_a, author_b) AS a, greatest(author_a, author_b) AS b, content_type, delta_seconds, parent, tb FROM known),
@@ -128,7 +168,11 @@ x AS (SELECT a, b, content_type, parent, min(tb) AS o FROM k GROUP BY ALL),
 y AS (SELECT *, row_number() OVER (PARTITION BY a, b, content_type ORDER BY o, parent) AS n FROM x),
 z AS (SELECT a, b, content_type, string_agg(parent, ', ' ORDER BY n) AS example_content_ids FROM y WHERE n <= 5 GROUP BY ALL)
 SELECT r.a AS author_a, r.b AS author_b, r.content_type, instances, max_delta, avg_delta, min_delta, normalized_frequency, example_content_ids FROM r JOIN z USING (a, b, content_type)""",
-    "fast_sibling_comment_rollup": f"WITH {_C}, {_pairs(chr(39).join(['AND a.parent_type = ', 'comment', ' AND b.parent_type = ', 'comment', '']))}, k AS (SELECT least(author_a, author_b) AS author_a, greatest(author_a, author_b) AS author_b, delta_seconds FROM near), {_rollup('k', 'author_a, author_b', SIBLING_LEAST)} SELECT * FROM r",
+    "fast_sibling_comment_rollup": f"{_FAST}, {_pairs(_ON_COMMENTS, FAST_SECONDS)}, k AS (SELECT least(author_a, author_b) AS author_a, greatest(author_a, author_b) AS author_b, delta_seconds FROM near), {_rollup('k', 'author_a, author_b', FAST_LEAST)} SELECT * FROM r",
+    "fast_responders_listed": f"""{_FAST}, {_ADJACENT}, r AS (SELECT responder_author, count(*) AS events, count(DISTINCT thread_id) AS threads, count(DISTINCT previous_author) AS partners, round(avg(delta_seconds), 2) AS avg_delta, min(delta_seconds) AS min_delta
+FROM e WHERE delta_seconds BETWEEN 0 AND {FAST_SECONDS} GROUP BY 1 HAVING count(*) >= {FAST_EVENTS} AND count(DISTINCT thread_id) >= {FAST_THREADS})
+SELECT *, row_number() OVER (ORDER BY events DESC, threads DESC, avg_delta, responder_author) AS place FROM r""",
+    "fast_direct_accounts": f"{_FAST}, {_DIRECT.replace(str(DIRECT_SECONDS), str(FAST_SECONDS))}, {_rollup('r0', 'child_author', FAST_LEAST)} SELECT * FROM r",
     "fast_adjacent_responses": f"WITH {_C}, {_ADJACENT} SELECT * FROM e WHERE delta_seconds BETWEEN 0 AND {RESPONSE_SECONDS}",
     "fast_responder_accounts": f"""WITH {_C}, {_ADJACENT} SELECT responder_author, count(*) AS events, count(DISTINCT thread_id) AS threads, count(DISTINCT previous_author) AS partners, round(avg(delta_seconds), 2) AS avg_delta, min(delta_seconds) AS min_delta
 FROM e WHERE delta_seconds BETWEEN 0 AND {RESPONSE_SECONDS} GROUP BY 1 HAVING count(*) >= {RESPONSE_LEAST} AND count(DISTINCT thread_id) >= {RESPONSE_THREADS}""",
