@@ -27,8 +27,8 @@ from tallyloom.session import cut
 
 WORD = re.compile(r"[^\W_]+")
 PIECES = 64  # four-bit pieces of a signature
-RUN = 256  # a bucket of at most so many classes is paired in one task, a larger one in blocks of so many
-SMALL = 8  # a class of at most so many copies has all its pairs given, a larger one its least name's
+RUN = 256  # a bucket of at most so many classes is paired as it is, a larger one is divided by further minima
+THREE = PIECES // 3  # groups of three pieces that divide a large bucket
 FEW = 1_000_000  # so many numbers may be broadcast
 
 
@@ -232,25 +232,75 @@ def _least_agreeing(threshold: float) -> int:
     return int(PIECES * p - 3.5 * (PIECES * p * (1 - p)) ** 0.5)
 
 
-def _blocks(crowded: DataFrame, pieces: DataFrame, least: int) -> DataFrame:
-    """Pairs (i, j) of like signature within the large buckets: every block of RUN members meets every other."""
+def _divided(crowded: DataFrame, pieces: DataFrame, least: int) -> DataFrame:
+    """Pairs (i, j) of like signature within the large buckets. Members of such a bucket are met where three further minima agree
+    as well, in any of THREE groups of pieces: of pairs of similarity 0.5 that share the bucket 0.966 do, of 0.6 0.997, and
+    most share other buckets, too. So a bucket's cost is THREE times its members and the pairs that agree in eight minima; a
+    group that is still larger than RUN is cut into parts that meet by keys of their own."""
+    rows = crowded.join(pieces, "idx")
 
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        idx, block = t.column("idx").to_numpy(), t.column("block").to_numpy()
-        s = np.frombuffer(b"".join(t.column("pieces").to_pylist()), np.uint8).reshape(len(idx), -1)
-        one, two = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-        found = [np.zeros((0, 2), np.int64)]
-        for i in one:
-            j = two[_agreeing(s[i], s[two]) >= least]
-            j = j[idx[j] != idx[i]]
-            found.append(np.stack([np.minimum(idx[i], idx[j]), np.maximum(idx[i], idx[j])], 1))
-        u = np.concatenate(found)
-        return pa.table({"i": u[:, 0], "j": u[:, 1]})
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 4096):
+                b = whole.slice(lo, 4096)
+                s = _nibbles(b.column("pieces"))
+                at = np.tile(np.arange(THREE, dtype=np.int32), b.num_rows)
+                three = s[:, : 3 * THREE].reshape(-1, 3).astype(np.int32)
+                value = three[:, 0] << 8 | three[:, 1] << 4 | three[:, 2]
+                row = pa.array(np.repeat(np.arange(b.num_rows), THREE))
+                yield pa.RecordBatch.from_arrays([b.column("bucket").take(row), pa.array(at << 12 | value), b.column("idx").take(row), b.column("pieces").take(row)], names=["bucket", "part", "idx", "pieces"])
+
+    each = rows.select("bucket", "idx", "pieces").mapInArrow(spread, "bucket long, part int, idx long, pieces binary")
+    sizes = each.groupBy("bucket", "part").agg(F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("n"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    each = each.join(sizes, ["bucket", "part"]).withColumn("own", F.pmod(F.xxhash64("idx"), F.col("n")).cast("int"))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    key = F.xxhash64("bucket", "part", F.least("own", "other"), F.greatest("own", "other")).alias("key")
+    keyed = each.select(key, F.shiftright("part", 12).alias("at"), F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "idx", "pieces")
 
-    rows = crowded.join(pieces, "idx").withColumn("block", F.floor(F.col("place") / RUN))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))))
-    rows = rows.select("bucket", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "idx", "pieces")
-    return rows.groupBy("bucket", "b1", "b2").applyInArrow(run, "i long, j long").distinct()
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
+            k = t.column("key").to_numpy()
+            if not len(k):
+                continue
+            last = int(np.flatnonzero(k != k[-1])[-1]) + 1 if k[0] != k[-1] else 0
+            held = t.slice(last).combine_chunks().to_batches()[0]
+            if last:
+                yield from pairs(t.slice(0, last))
+        if held is not None:
+            yield from pairs(pa.Table.from_batches([held]))
+
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        k, at, p, q, own, idx = (t.column(c).to_numpy() for c in ("key", "at", "p", "q", "own", "idx"))
+        s = _nibbles(t.column("pieces").combine_chunks())
+        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        for a, n in zip(starts, np.diff(np.append(starts, len(k)))):
+            if n < 2:
+                continue
+            i, j = np.triu_indices(n, 1)
+            i, j = i + a, j + a
+            if p[a] != q[a]:
+                cross = own[i] != own[j]
+                i, j = i[cross], j[cross]
+            for lo in range(0, len(i), 200_000):
+                u, v = i[lo : lo + 200_000], j[lo : lo + 200_000]
+                same = s[u] == s[v]
+                good = (same.sum(1) >= least) & (idx[u] != idx[v])
+                if at[a]:  # a pair belongs to the first group of pieces in which it agrees
+                    good &= ~same[:, : 3 * at[a]].reshape(len(u), -1, 3).all(2).any(1)
+                u, v = idx[u[good]], idx[v[good]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["i", "j"])
+
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "i long, j long").distinct()
+
+
+def _nibbles(packed: pa.Array) -> np.ndarray:
+    """The four-bit pieces of packed signatures, one row each."""
+    b = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(len(packed), -1)
+    out = np.empty((len(b), 2 * b.shape[1]), np.uint8)
+    out[:, ::2], out[:, 1::2] = b & 15, b >> 4
+    return out
 
 
 def _only(df: DataFrame, ids: DataFrame, count: int) -> DataFrame:
@@ -268,8 +318,8 @@ def near_copies(texts: DataFrame, name: str, text: str, threshold: float = 0.8,
     are one text (of different ones, that of the least class). Texts of any length are hashed whole.
 
     Scale: texts are read once; between tasks go the names, 32-byte signatures and, for each class, `bands` hashes of 4
-    bytes in blocks. Copies are collapsed before hashing. Buckets of more than RUN classes are compared in blocks by
-    signature, spread over tasks, so none is cut.
+    bytes in blocks. Copies are collapsed before hashing. Buckets of more than RUN classes are divided by further minima and
+    spread over tasks; none is cut.
     """
     if least_words < words:
         raise ValueError("a text needs at least one shingle")
@@ -294,7 +344,7 @@ def near_copies(texts: DataFrame, name: str, text: str, threshold: float = 0.8,
 
     alike = like.mapInArrow(check, "i long, j long")
     if not crowded.isEmpty():
-        alike = alike.union(_blocks(crowded, pieces, least)).distinct()
+        alike = alike.union(_divided(crowded, pieces, least)).distinct()
     alike = cut(alike)
     ends = alike.select(F.col("i").alias("idx")).union(alike.select(F.col("j").alias("idx"))).distinct()
     some = _only(hashed.select("idx", "class", "grams"), ends, ends.count())
@@ -314,27 +364,35 @@ def near_copies(texts: DataFrame, name: str, text: str, threshold: float = 0.8,
     return cut(both.mapInArrow(exact, "class_1 long, class_2 long, similarity double")), members
 
 
-def copy_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    """(name_1, name_2) with name_1 < name_2. Of a class of at most SMALL copies every name stands for it, in pairs within the
-    class and across a link; of a larger one its least name, which is also paired with each of the others. So no link
-    between different texts is lost, and a group of copies costs its own size."""
+def copy_pairs(links: DataFrame, members: DataFrame, expand: int | None = 1) -> DataFrame:
+    """(name_1, name_2) with name_1 < name_2: pairs between the classes' representatives, their least names, and membership, each
+    representative with each other name of its class. So no link between different texts is lost, and a group of copies costs
+    its own size. That is the form for classes of every size; with expand, classes of at most so many copies have all their
+    pairs given instead, within the class and across links, and with None every class has, at the cost of the square of its
+    size."""
     wanted = links.select(F.col("class_1").alias("class")).union(links.select(F.col("class_2").alias("class"))).distinct()
     sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first"))
     used = sizes.join(wanted.withColumn("linked", F.lit(True)), "class", "left").where("linked OR n > 1").drop("linked")
     known = cut(members.join(used, "class"))
-    faces = known.where((F.col("n") <= SMALL) | (F.col("name") == F.col("first"))).select("class", "name")
+    full = F.lit(True) if expand is None else F.col("n") <= expand
+    faces = known.where(full | (F.col("name") == F.col("first"))).select("class", "name")
     across = links.join(faces.select(F.col("class").alias("class_1"), F.col("name").alias("a")), "class_1").join(faces.select(F.col("class").alias("class_2"), F.col("name").alias("b")), "class_2").select("a", "b")
-    few = known.where((F.col("n") <= SMALL) & (F.col("n") > 1)).select("class", "name")
-    within = few.withColumnRenamed("name", "a").join(few.withColumnRenamed("name", "b"), "class").where("a < b").select("a", "b")
-    star = known.where((F.col("n") > SMALL) & (F.col("name") != F.col("first"))).select(F.col("first").alias("a"), F.col("name").alias("b"))
-    every = across.union(within).union(star)
+    every = across.union(known.where(~full & (F.col("name") != F.col("first"))).select(F.col("first").alias("a"), F.col("name").alias("b")))
+    if expand is None or expand > 1:
+        few = known.where(full & (F.col("n") > 1)).select("class", "name")
+        every = every.union(few.withColumnRenamed("name", "a").join(few.withColumnRenamed("name", "b"), "class").where("a < b").select("a", "b"))
     return every.select(F.least("a", "b").alias("name_1"), F.greatest("a", "b").alias("name_2"))
 
 
 def copy_groups(links: DataFrame, members: DataFrame) -> DataFrame:
-    """(name, class, group, n_links): one row per text that takes part; group is the least class linked to its class directly
-    or through others, n_links the number of other classes that its class is linked to."""
-    joined = components(links, "class_1", "class_2")
+    """(name, class_name, group_name, n_links): one row per text that takes part. class_name is the least name with the same
+    words, group_name the least name of all texts linked to it directly or through others, n_links the number of other
+    classes that its class is linked to."""
+    first = members.groupBy("class").agg(F.min("name").alias("class_name"))
+    joined = components(links, "class_1", "class_2").withColumnRenamed("node", "class")
     ends = links.select(F.col("class_1").alias("class")).union(links.select(F.col("class_2").alias("class")))
-    about = joined.withColumnRenamed("node", "class").join(ends.groupBy("class").agg(F.count(F.lit(1)).alias("n_links")), "class")
-    return members.join(about, "class", "left").select("name", "class", F.coalesce("component", "class").alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    linked = cut(joined.join(ends.groupBy("class").agg(F.count(F.lit(1)).alias("n_links")), "class").join(first, "class"))
+    groups = linked.groupBy("component").agg(F.min("class_name").alias("group_name"))
+    about = linked.join(groups, "component").select("class", "group_name", "n_links")
+    every = first.join(about, "class", "left").select("class", "class_name", F.coalesce("group_name", "class_name").alias("group_name"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return members.join(every, "class").select("name", "class_name", "group_name", "n_links")

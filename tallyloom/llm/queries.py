@@ -40,6 +40,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the representatives of equal texts, and membership: each representative with the other names of its text."""
     return copy_pairs(*near_copies(posts(spark, sf_dir), "name", "text", threshold=0.5, words=3, least_words=10))
 
 
@@ -94,17 +95,24 @@ SQL_PAIR_ENDS = ", ".join(f"CASE WHEN trim(author_{i}, {_S}) NOT IN ('', '[delet
 
 QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_likelihood": p5_likelihood, "p7_found": p7_found} | corpus_queries.QUERIES
 SQL_VECTORS = "v AS (SELECT vec_id, any_value(vec)::DOUBLE[] AS vec FROM comment_vectors WHERE list_sum(list_transform(vec, lambda x: abs(x))) > 0 GROUP BY vec_id)"
+# cl: each text of ten words or more and the least name with the same words; lk: links between these representatives.
+SQL_COPIES = """t AS (SELECT DISTINCT 't1_' || id AS name, body AS text FROM comments WHERE id IS NOT NULL AND body IS NOT NULL UNION ALL SELECT DISTINCT 't3_' || id, selftext FROM submissions WHERE id IS NOT NULL AND selftext IS NOT NULL),
+w AS (SELECT name, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM t), cl AS (SELECT name, w, min(name) OVER (PARTITION BY w) AS class_name FROM w WHERE len(w) >= 10),
+g AS (SELECT DISTINCT name, unnest([hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) for i in range(1, len(w) - 1)]) AS g FROM cl WHERE name = class_name),
+n AS (SELECT name, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT a.name AS a, b.name AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.name < b.name GROUP BY 1, 2),
+lk AS (SELECT a, b FROM c JOIN n x ON x.name = a JOIN n y ON y.name = b WHERE c >= 0.5 * (x.n + y.n - c))"""
 SQL = {
     "p2_found": f"""WITH {SQL_VECTORS},
 s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.vec, b.vec) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.vec, b.vec) >= {ALIKE}),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s)
 SELECT DISTINCT least(a, b) AS vec_id_1, greatest(a, b) AS vec_id_2 FROM r WHERE k <= {NEIGHBOURS}""",
-    "p3_found": """WITH t AS (SELECT DISTINCT 't1_' || id AS name, body AS text FROM comments WHERE id IS NOT NULL AND body IS NOT NULL UNION ALL SELECT DISTINCT 't3_' || id, selftext FROM submissions WHERE id IS NOT NULL AND selftext IS NOT NULL),
-w AS (SELECT name, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM t),
-g AS (SELECT DISTINCT name, unnest([hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) for i in range(1, len(w) - 1)]) AS g FROM w WHERE len(w) >= 10),
-n AS (SELECT name, count(*) AS n FROM g GROUP BY 1),
-c AS (SELECT a.name AS name_1, b.name AS name_2, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.name < b.name GROUP BY 1, 2)
-SELECT name_1, name_2 FROM c JOIN n x ON x.name = name_1 JOIN n y ON y.name = name_2 WHERE c >= 0.5 * (x.n + y.n - c)""",
+    "p3_found": f"""WITH {SQL_COPIES} SELECT a AS name_1, b AS name_2 FROM lk UNION ALL SELECT class_name, name FROM cl WHERE name <> class_name""",
+    "p3_groups": f"""WITH RECURSIVE {SQL_COPIES},
+sy AS (SELECT a, b FROM lk UNION ALL SELECT b, a FROM lk),
+re(node, seen) AS (SELECT a, a FROM sy UNION SELECT sy.b, re.seen FROM re JOIN sy ON sy.a = re.node WHERE re.seen < sy.b),
+gr AS (SELECT node, min(seen) AS group_name FROM re GROUP BY 1), dg AS (SELECT a AS node, count(*) AS n_links FROM sy GROUP BY 1)
+SELECT name, class_name, coalesce(group_name, class_name) AS group_name, coalesce(n_links, 0) AS n_links FROM cl LEFT JOIN gr ON gr.node = class_name LEFT JOIN dg ON dg.node = class_name""",
     "p5_found": f"WITH {SQL_LINKS} SELECT subreddit, domain FROM w WHERE rt >= {MIN_LINKS} QUALIFY row_number() OVER (PARTITION BY subreddit ORDER BY weight DESC, domain) <= {TOP_DOMAINS}",
     "p5_likelihood": f"WITH {SQL_LINKS} SELECT subreddit, domain, n::BIGINT AS n, round(CASE WHEN n < tt * rt / al THEN -1 ELSE 1 END * greatest({_G}, 0), 6) AS llr, weight FROM w",
     "p7_found": f"""WITH RECURSIVE p AS (SELECT {SQL_PAIR_ENDS} FROM suspicious_pairs),

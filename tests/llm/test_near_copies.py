@@ -44,15 +44,21 @@ def frame(spark, rows):
 def test_pairs_equal_brute_force(spark):
     rows = made(1) + [(None, "a b c d e f g h i j k"), ("t1_null", None), ("t1_blank", "  "), ("t1_few", "one two three")]
     links, members = N.near_copies(frame(spark, rows), "name", "text", 0.7, 3, 10)
-    got = {tuple(r) for r in N.copy_pairs(links, members).collect()}
+    got = {tuple(r) for r in N.copy_pairs(links, members, None).collect()}
     want = brute(rows, 0.7, 3, 10)
     assert got <= want and len(got) >= 0.98 * len(want) and want
+    # representatives and membership say the same: expanding them gives every pair
+    for expand in (1, 2, 3):
+        short = {tuple(r) for r in N.copy_pairs(links, members, expand).collect()}
+        face = {r["name"]: r["class_name"] for r in N.copy_groups(links, members).collect()}
+        linked = {(face[a], face[b]) for a, b in short}
+        assert short <= got and {tuple(sorted((a, b))) for a in face for b in face if a < b and (face[a] == face[b] or (face[a], face[b]) in linked or (face[b], face[a]) in linked)} == got
 
 
 def test_default_of_five_words_and_four_fifths(spark):
     rows = made(2)
     links, members = N.near_copies(frame(spark, rows), "name", "text")
-    assert {tuple(r) for r in N.copy_pairs(links, members).collect()} >= {p for p in brute(rows, 0.85, 5, 10)}
+    assert {tuple(r) for r in N.copy_pairs(links, members, None).collect()} >= {p for p in brute(rows, 0.85, 5, 10)}
 
 
 def test_large_class_is_a_star_and_groups_hold(spark):
@@ -62,16 +68,20 @@ def test_large_class_is_a_star_and_groups_hold(spark):
     links, members = N.near_copies(frame(spark, rows), "name", "text", 0.5, 3, 10)
     pairs = {tuple(r) for r in N.copy_pairs(links, members).collect()}
     assert pairs == {("n000", f"n{i:03d}") for i in range(1, 100)} | {("n000", "z1")}
-    groups = {r["name"]: (r["group"], r["n_links"]) for r in N.copy_groups(links, members).collect()}
+    groups = {r["name"]: (r["group_name"], r["n_links"]) for r in N.copy_groups(links, members).collect()}
     assert len(groups) == 102 and len({g for g, _ in groups.values()}) == 2 and groups["z1"][1] == 1 and groups["other"][1] == 0
 
 
-def test_crowded_buckets_are_compared_in_blocks(spark, monkeypatch):
+def test_crowded_buckets_are_divided(spark, monkeypatch):
     monkeypatch.setattr(N, "RUN", 4)
     base = [f"word{i}" for i in range(60)]
     rows = [(f"n{i:02d}", " ".join(base + [f"end{i}"])) for i in range(30)]
     links, members = N.near_copies(frame(spark, rows), "name", "text", 0.5, 3, 10)
     assert links.count() == 30 * 29 // 2
+    rows = made(5) + rows
+    links, members = N.near_copies(frame(spark, rows), "name", "text", 0.5, 3, 10)
+    got, want = {tuple(r) for r in N.copy_pairs(links, members, None).collect()}, brute(rows, 0.5, 3, 10)
+    assert got <= want and len(got) >= 0.97 * len(want)
 
 
 def test_one_long_text_and_nothing(spark):
