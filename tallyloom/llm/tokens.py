@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 VOCABULARY = os.environ.get("TALLYLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 # Fixed value: the pattern that splits a text before byte pairs are merged, as this kind of vocabulary needs it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CHUNK = 200_000  # characters encoded at a time; a longer text is cut at a line's or word's end
+CHUNK = 200_000  # characters encoded at a time
 
 
 @lru_cache(maxsize=2)
@@ -26,21 +27,22 @@ def encoder(path: str):
     return tiktoken.Encoding("public", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
+# The end of a character that isn't white space before one that is. No match of SPLIT goes across such a place: what
+# matches letters, digits or symbols takes no white space after them, and nothing looks behind. So a text that is cut
+# there is split, and merged, as the whole is. The characters after it are those that every definition calls white space.
+_END = re.compile(r"\S(?=[ \t\n\r])")
+
+
 def count_tokens(text: str, path: str = VOCABULARY) -> int:
-    """Tokens of the whole text. Above CHUNK characters it is encoded in parts that end where a space or line end begins; the
-    split pattern never joins across such a place, so the sum is that of the whole."""
+    """Tokens of the whole text. Above CHUNK characters it is encoded in parts, each up to the first end of a word, or of other
+    characters, at a space, tab or line's end beyond CHUNK; a text without any is encoded at once. The sum is that of the
+    whole, whatever the text."""
     encode = encoder(path).encode_ordinary
-    if len(text) <= CHUNK:
-        return len(encode(text))
     total, at = 0, 0
-    while at < len(text):
-        end = min(at + CHUNK, len(text))
-        if end < len(text):
-            cut_at = max((i for i in range(end, max(at, end - 10_000), -1) if text[i] == " " and not text[i - 1].isspace() and not text[i + 1 : i + 2].isspace()), default=end)
-            end = cut_at
-        total += len(encode(text[at:end]))
-        at = end
-    return total
+    while len(text) - at > CHUNK and (m := _END.search(text, at + CHUNK)):
+        total += len(encode(text[at : m.end()]))
+        at = m.end()
+    return total + len(encode(text[at:]))
 
 
 def with_tokens(df: DataFrame, text: str, path: str = VOCABULARY, name: str = "n_tokens") -> DataFrame:

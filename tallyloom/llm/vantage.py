@@ -5,7 +5,7 @@ inequality holds. A node holds a vantage point and the median distance to it; a
 only if the median is nearer to the query's distance than factor * r. With factor 1 nothing within r can be lost; smaller
 factors prune more and lose some.
 
-The top of the tree is fitted on a bounded sample and decides shards: every vector is indexed in exactly one shard, and is
+The top of the tree is fitted on a sample and decides shards: every vector is indexed in exactly one shard, and is
 sent as a query to the shards that the relaxed rule leaves. Each shard builds its own tree over all its vectors. A pair
 found from either end counts for both.
 """
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.session import cut
 
+SAMPLED = 16  # rows of the sample for each shard, at least
 SLACK = 8  # candidates kept beyond k until exact similarities decide
 
 
@@ -42,9 +43,11 @@ def _distance(similarity: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * similarity, 0.0))
 
 
-def grow(x: np.ndarray, depth: int, rng: np.random.Generator, tries: int = 8, looked_at: int = 512) -> Tree:
+def grow(x: np.ndarray, depth: int, rng: np.random.Generator, tries: int = 8, looked_at: int = 512, reach: float = 0.0, band: float = 0.4) -> Tree:
     """A tree over the rows of x, of length one. Of `tries` candidates the point with the widest spread of distances becomes
-    the vantage point; the median halves the node, ties included."""
+    the vantage point; the median halves the node, ties included. With a reach, the border lies where fewest of the rows
+    looked at are within reach of it, over all candidates and all quantiles from `band` to 1 - band: a node may get up to
+    1 - band of its rows on one side, and fewer rows need both."""
     nodes = (1 << depth) - 1
     points, medians = np.zeros((nodes, x.shape[1]), np.float32), np.zeros(nodes, np.float32)
     level = [np.arange(len(x))]
@@ -58,6 +61,11 @@ def grow(x: np.ndarray, depth: int, rng: np.random.Generator, tries: int = 8, lo
                 continue
             some = x[rows if len(rows) <= looked_at else rng.choice(rows, looked_at, replace=False)]
             tried = x[rng.choice(rows, min(tries, len(rows)), replace=False)]
+            if reach > 0:
+                points[i], medians[i] = _border(some, tried, reach, band)
+                far = _distance(x[rows] @ points[i]) >= medians[i]
+                lower += [rows[~far], rows[far]]
+                continue
             points[i] = tried[_distance(some @ tried.T).var(0).argmax()]
             d = _distance(x[rows] @ points[i])
             order = np.argpartition(d, len(rows) // 2)
@@ -68,18 +76,41 @@ def grow(x: np.ndarray, depth: int, rng: np.random.Generator, tries: int = 8, lo
     return Tree(points, medians, depth, level)
 
 
-def route(tree: Tree, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, leaf, home): for each row of x its own leaf, and the leaves within reach of a border."""
+def _border(some: np.ndarray, tried: np.ndarray, reach: float, band: float) -> tuple[np.ndarray, float]:
+    """The candidate and the distance to it within reach of which fewest rows lie."""
+    d = np.sort(_distance(some @ tried.T), axis=0)
+    at = np.unique(np.linspace(band * (len(d) - 1), (1 - band) * (len(d) - 1), 21).astype(int))
+    best = (len(d) + 1, 0, 0.0)
+    for c in range(d.shape[1]):
+        borders = d[at, c]
+        near = np.searchsorted(d[:, c], borders + reach, "right") - np.searchsorted(d[:, c], borders - reach, "left")
+        k = int(near.argmin())
+        best = min(best, (int(near[k]), c, float(borders[k])))
+    return tried[best[1]], best[2]
+
+
+def route(tree: Tree, x: np.ndarray, reach: float, visits: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, leaf, home): for each row of x its own leaf, and the leaves within reach of a border; with `visits`, of these the so
+    many, the own among them, whose borders are nearest in sum. Each level looks at the nodes reached and no others."""
     n = len(x)
-    row, node, home = np.arange(n), np.zeros(n, np.int64), np.ones(n, bool)
-    d = _distance(x @ tree.points.T) if len(tree.points) else None
+    row, node, cost = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.float32)
+    home = np.ones(n, bool)
     for _ in range(tree.depth):
-        gap = d[row, node] - tree.medians[node]
+        gap = np.empty(len(row), np.float32)
+        for a in range(0, len(row), 65536):
+            r = slice(a, a + 65536)
+            gap[r] = _distance(np.einsum("ij,ij->i", x[row[r]], tree.points[node[r]])) - tree.medians[node[r]]
         right = gap >= 0
         far = np.abs(gap) <= reach
         child = 2 * node + 1 + right
         other = 2 * node + 2 - right
-        row, node, home = np.concatenate([row, row[far]]), np.concatenate([child, other[far]]), np.concatenate([home, np.zeros(far.sum(), bool)])
+        row, node, home, cost = np.concatenate([row, row[far]]), np.concatenate([child, other[far]]), np.concatenate([home, np.zeros(far.sum(), bool)]), np.concatenate([cost, cost[far] + np.abs(gap[far])])
+        if visits is not None:
+            order = np.lexsort((cost, ~home, row))
+            row, node, home, cost = row[order], node[order], home[order], cost[order]
+            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            keep = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))) < visits
+            row, node, home, cost = row[keep], node[keep], home[keep], cost[keep]
     return row, node - ((1 << tree.depth) - 1), home
 
 
@@ -165,6 +196,7 @@ def nearest(
     shard_rows: int = 32768,
     leaf_rows: int = 64,
     sample_rows: int = 20_000,
+    visits: int | None = None,
     seed: int = 1,
 ) -> DataFrame:
     """(key, neighbour, similarity): for each vector the up to k others with the highest cosine of at least min_similarity;
@@ -175,10 +207,13 @@ def nearest(
     (a vector counts for at most k + 1 keys in the choice of the length). Rows with one key are one record (of different
     vectors that take part, the one with the least hash). A vector given under more than k + 1 keys is
     indexed under its k + 1 smallest; the others can have no nearer neighbour than those and get them, so that a group
-    of copies, however large, costs its own size. The sample of at most about sample_rows rows only decides where borders
-    run; every row is indexed. An empty table gives no rows.
+    of copies, however large, costs its own size. The sample, of about sample_rows rows and at least SAMPLED for each shard,
+    only decides where borders run; every row is indexed. An empty table gives no rows.
 
-    Scale: what is shuffled is each vector once per shard it visits. A shard holds about shard_rows vectors.
+    Scale: what is shuffled is each vector once per shard it visits. A shard holds about shard_rows vectors. Borders run
+    where few vectors are near; still, with each doubling of the shards a vector visits about 1.2 to 1.3 times as many.
+    visits bounds the shards that a vector is sent to, those over the nearest borders first, for some recall; None is the
+    rule of the factor alone.
     """
     shard_factor = factor if shard_factor is None else shard_factor
     radius = math.sqrt(max(2.0 - 2.0 * min_similarity, 0.0))
@@ -208,15 +243,18 @@ def nearest(
     search_rows = hashed.select("id", "vec", "asks")
 
     # the sample that decides the borders
+    depth = max(0, math.ceil(math.log2(max(1, total / shard_rows))))
+    sample_rows = max(sample_rows, SAMPLED << depth)
     spread = max(1, total // sample_rows)
     sample = search_rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(spread)) == 0).select("vec").limit(2 * sample_rows).toArrow()
     if not sample.num_rows:
         sample = search_rows.select("vec").limit(sample_rows).toArrow()
     _, x = _usable(sample.combine_chunks().to_batches()[0], dim)
-    depth = max(0, math.ceil(math.log2(max(1, total / shard_rows)))) if len(x) else 0
-    top = grow(_unit(x), depth, np.random.default_rng(seed))
+    reach = shard_factor * radius
+    depth = depth if len(x) else 0
+    top = grow(_unit(x), depth, np.random.default_rng(seed), 32, 2048, reach)
     top.members = []
-    size, reach = 1 << depth, shard_factor * radius
+    size = 1 << depth
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,7 +262,7 @@ def nearest(
             if not len(at):
                 continue
             ids_, asks = (batch.column(c).to_numpy(zero_copy_only=False)[at] for c in ("id", "asks"))
-            row, leaf, home = route(top, _unit(raw), reach)
+            row, leaf, home = route(top, _unit(raw), reach, visits)
             go = home | asks[row]
             row, leaf, home = row[go], leaf[go], home[go]
             data = pa.Array.from_buffers(pa.binary(4 * dim), len(row), [None, pa.py_buffer(np.ascontiguousarray(raw[row]).tobytes())]).cast(pa.binary())

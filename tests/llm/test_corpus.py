@@ -22,6 +22,16 @@ def test_tokens_of_long_text_equal_the_whole(spark):
     assert got[1] == count_tokens("hello there") > 0 and got[2] is None and got[3] == 0
 
 
+@pytest.mark.parametrize("part", ["\u6c34\u706b", "QUJD+/9", "line\n", "a\n\n\n  b", "x\x1c!\x1d?", "don't\t", "\u0e01\u0e02", "9 ", "\u00a0\u3000y ", "   "])
+def test_tokens_of_any_long_text_equal_the_whole(part, monkeypatch):
+    from tallyloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "CHUNK", 50)
+    rng = random.Random(len(part))
+    text = "".join(part if rng.random() < 0.9 else rng.choice(["z", " ", "\n", "'s", "\r\n ", "!"]) for _ in range(700))
+    assert count_tokens(text) == len(encoder("/opt/tokenizers/byte_bpe_multi_50k.tiktoken").encode_ordinary(text))
+
+
 def best_sum(items, room):
     reach = {0}
     for i in items:

@@ -41,6 +41,25 @@ def test_factor_one_is_exact(spark):
     assert got == {i: n for i, n in want.items() if n}
 
 
+def test_routing_by_levels(spark):
+    """Every row reaches its own leaf; with a reach of all distances every leaf, with a budget no more than that."""
+    from tallyloom.llm.vantage import _unit, grow, route
+
+    _, x = clustered(400, 12, 5)
+    y = _unit(x)
+    tree = grow(y, 4, np.random.default_rng(0), 16, 256, 0.05)
+    leaf_of = np.empty(400, int)
+    for leaf, rows in enumerate(tree.members):
+        leaf_of[rows] = leaf
+    row, leaf, home = route(tree, y, 0.05)
+    assert home.sum() == 400 and (leaf[home] == leaf_of[row[home]]).mean() > 0.99
+    row, leaf, _ = route(tree, y, 9.0)
+    assert len(row) == 400 * 16 and len(set(zip(row, leaf))) == len(row)
+    row, leaf, home = route(tree, y, 9.0, visits=3)
+    assert (np.bincount(row) == 3).all() and home.sum() == 400
+    assert sum(map(len, tree.members)) == 400
+
+
 def test_relaxed_factor_keeps_recall(spark):
     ids, x = clustered(1500, 40, 2)
     got = neighbours(nearest(frame(spark, ids, x), "vec_id", "vec", 10, 0.8, factor=0.15, shard_factor=0.07, shard_rows=400, leaf_rows=32))
