@@ -2,19 +2,24 @@
 
 A text is read in segments: the lines between blank lines, in groups of at least SEGMENT characters where there are more.
 Each segment gets seven statistics. Per language, mean and covariance of prose are fitted to the segments of all documents
-by concentration: from medians and median deviations on, only segments within a quantile of the distance enter the next
-mean and covariance. A segment beyond the cut isn't running text, and each statistic's part of its squared distance says
-why. Small languages borrow covariance from all.
+by concentration: from medians and quartiles on, only segments within a quantile of the distance enter the next mean and
+covariance. A segment beyond the cut isn't running text, and each statistic's part of its squared distance says why.
+Languages borrow from all, the more the smaller they are.
+
+Two distances are given. The plain one is the Mahalanobis distance itself. In the one that decides, a deviation to the good
+side (more common words or longer lines than in ordinary prose, fewer symbols, digits or repetitions) is no deviation.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +29,10 @@ STATISTICS = ("word_length", "common_share", "symbol_share", "digit_share", "lin
 NO_FAULT_ABOVE = ("common_share", "line_words")  # more of it than in ordinary prose makes no text junk
 NO_FAULT_BELOW = ("symbol_share", "digit_share", "repetition")
 SEGMENT = 600  # characters
-PIECE = 1_000_000  # characters worked on at a time
+PIECE = 1_000_000  # characters worked on at a time; a longer text is taken in parts that change nothing
+FEW = 20.0  # segments of all that a language's mean is mixed with
 PRIOR = 4.0  # words, or lines, of ordinary prose added to a segment, so that a short one isn't judged by chance
-NGRAM, WINDOW = 8, 400  # a run of NGRAM words is repeated if it came up within the last WINDOW words
+NGRAM = 8  # a run of so many words is repeated if the text had it before
 CUT = 20.28  # 0.995 of a chi-squared distribution with as many degrees of freedom as there are statistics
 # Kinds of characters.
 OTHER, LETTER, DIGIT, SPACE, LINE, END, INNER, MARKUP, SYMBOL = range(9)
@@ -87,10 +93,21 @@ def word_hash(word: str) -> int:
     return h
 
 
-def measure(texts: list[str], tables: list[np.ndarray]) -> dict[str, np.ndarray]:
+@dataclass
+class Before:
+    """What a part of a long text needs to know of the parts before: characters of the open paragraph, the last words, and the
+    hashes of all runs of words so far."""
+
+    inside: int = 0
+    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    runs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+
+
+def measure(texts: list[str], tables: list[np.ndarray], before: Before | None = None) -> dict[str, np.ndarray]:
     """Counts per segment of the texts: text (its number), chars, words, letters, solid (characters other than white space),
     symbols, digits, lines, ended (lines that end in punctuation), grams, repeated, and common_0, common_1, ... the words
-    found in each of the sorted tables of word hashes."""
+    found in each of the sorted tables of word hashes. A run of words counts where it ends. With before, texts is one part
+    of a text, and before is brought up to its end."""
     text = "\n".join(texts) + "\n"
     code = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0x30000)
     kinds, low = _kinds()
@@ -114,23 +131,30 @@ def measure(texts: list[str], tables: list[np.ndarray]) -> dict[str, np.ndarray]
     del total, up, down
     first = np.searchsorted(begin, line_start)
     after = np.searchsorted(begin, line_end)
-    # repeated runs of words
-    again = np.zeros(len(word), bool)
-    if len(word) >= NGRAM:
-        n = len(word) - NGRAM + 1
+    # runs of words, by their last word
+    known = before.words if before is not None else np.zeros(0, np.uint64)
+    line = np.concatenate([known, word])
+    whole, again = np.zeros(len(line), bool), np.zeros(len(line), bool)
+    runs = np.zeros(0, np.uint64)
+    if len(line) >= NGRAM:
+        n = len(line) - NGRAM + 1
         run = np.zeros(n, np.uint64)
         for j in range(NGRAM):
-            run = run * np.uint64(0xD6E8FEB86659FD93) + word[j : j + n]
-        of = np.searchsorted(edges, begin, "right")
+            run = run * np.uint64(0xD6E8FEB86659FD93) + line[j : j + n]
+        of = np.concatenate([np.zeros(len(known), np.int64), np.searchsorted(edges, begin, "right")])
         valid = of[:n] == of[NGRAM - 1 :]
         run = run + of[:n].astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
         order = np.argsort(run, kind="stable")
-        same = (run[order][1:] == run[order][:-1]) & (np.diff(order) <= WINDOW)
-        again[order[1:][same]] = True
-        again[:n] &= valid
-        whole = np.concatenate([valid, np.zeros(NGRAM - 1, bool)])
-    else:
-        whole = again
+        same = run[order][1:] == run[order][:-1]
+        twice = np.zeros(n, bool)
+        twice[order[1:][same]] = True
+        if before is not None:
+            at = np.searchsorted(before.runs, run)
+            at[at == len(before.runs)] = 0
+            twice |= before.runs[at] == run if len(before.runs) else False
+            runs = np.unique(np.concatenate([before.runs, run]))
+        whole[NGRAM - 1 :], again[NGRAM - 1 :] = valid, valid & twice
+    whole, again = whole[len(known) :], again[len(known) :]
     # segments: lines between blank ones, in groups
     blank = here == 0
     para = np.cumsum(blank | (np.diff(owner, prepend=-1) > 0))
@@ -138,6 +162,10 @@ def measure(texts: list[str], tables: list[np.ndarray]) -> dict[str, np.ndarray]
     upto = np.cumsum(chars) - chars
     start_of = np.flatnonzero(np.diff(para, prepend=-1))
     inside = upto - upto[start_of][np.cumsum(np.diff(para, prepend=-1) > 0) - 1]
+    if before is not None:
+        inside = inside + np.where(para == para[0], 0 if blank[0] else before.inside, 0)
+        before.inside = int(inside[-1] + chars[-1])
+        before.words, before.runs = line[max(0, len(line) - NGRAM + 1) :], runs if len(runs) else before.runs
     keep = np.flatnonzero(~blank)
     if not len(keep):
         return {"text": np.zeros(0, np.int64)}
@@ -156,26 +184,56 @@ def measure(texts: list[str], tables: list[np.ndarray]) -> dict[str, np.ndarray]
     return out
 
 
+def parts(text: str, size: int) -> list[str]:
+    """A long text cut at line ends that begin a segment, into parts of about `size` characters; a line, or a segment, is never
+    cut, however long. The line end itself falls away."""
+    code = np.minimum(np.frombuffer((text + "\n").encode("utf-32-le", "surrogatepass"), np.uint32), 0x30000)
+    kind = _kinds()[0][code]
+    ends = np.flatnonzero(kind == LINE)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    blank = _sums(starts, ends, (kind != SPACE) & (kind != LINE) & (kind != OTHER)) == 0
+    para = np.cumsum(blank)
+    chars = ends - starts
+    upto = np.cumsum(chars) - chars
+    inside = upto - upto[np.flatnonzero(np.diff(para, prepend=-1))][np.cumsum(np.diff(para, prepend=-1) > 0) - 1]
+    filled = np.flatnonzero(~blank)
+    if not len(filled):
+        return [text]
+    new = np.concatenate([[False], (np.diff(para[filled]) > 0) | (np.diff(inside[filled] // SEGMENT) > 0)])
+    spots, out, at = starts[filled[new]], [], 0
+    while len(text) - at > size and (k := int(np.searchsorted(spots, at + size))) < len(spots):
+        out.append(text[at : spots[k] - 1])
+        at = int(spots[k])
+    return [*out, text[at:]]
+
+
 def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-    """Texts in groups of about PIECE characters, by position; a longer text comes in parts."""
+    """(positions, texts) in groups of about PIECE characters; a longer text comes alone."""
     at, held, size = [], [], 0
     for i, t in enumerate(texts):
         if t is None:
             continue
         if not t.isascii():
             t = unicodedata.normalize("NFC", t)
-        for a in range(0, len(t), PIECE):
-            part = t[a : a + PIECE]
-            at.append(i)
-            held.append(part)
-            size += len(part)
-            if size >= PIECE:
-                yield at, held
-                at, held, size = [], [], 0
+        if size and size + len(t) > PIECE:
+            yield at, held
+            at, held, size = [], [], 0
+        at.append(i)
+        held.append(t)
+        size += len(t)
     if held:
         yield at, held
 
 
+def _measured(held: list[str], tables: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """measure() of the texts; of a single long one part by part."""
+    if len(held) > 1 or len(held[0]) <= PIECE:
+        return measure(held, tables)
+    before = Before()
+    found = [m for m in (measure([p], tables, before) for p in parts(held[0], PIECE)) if len(m["text"])]
+    return {c: np.concatenate([m[c] for m in found]) for c in found[0]} if found else {"text": np.zeros(0, np.int64)}
+
+
 def segments(documents: DataFrame, key: str, text: str, lang: str, common: DataFrame) -> tuple[DataFrame, list[str]]:
     """(doc, segment, lang, chars, counts, x): one row per segment that has a character, x being its STATISTICS; and the
     languages. common: (lang, word), a side table of fixed size. A segment's language is that of most common words in it; of
@@ -195,7 +253,7 @@ def segments(documents: DataFrame, key: str, text: str, lang: str, common: DataF
             texts, said = b.column(1).to_pylist(), b.column(2).to_pylist()
             number = np.zeros(len(texts), np.int64)
             for at, part in _pieces(texts):
-                m = measure(part, tables)
+                m = _measured(part, tables)
                 if not len(m["text"]):
                     continue
                 row = np.array(at)[m["text"]]
@@ -228,94 +286,164 @@ def segments(documents: DataFrame, key: str, text: str, lang: str, common: DataF
     return documents.select(key, text, lang).mapInArrow(run, shape), names
 
 
-def fit(found: DataFrame, names: list[str], rounds: int = 4, inner: float = 16.0, borrow: float = 300.0) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
-    """Mean and inverse covariance of prose for each language and for None, the whole. Each round is one aggregate over all
-    segments, of which a mean and covariance per language come to the driver."""
+BINS = {"word_length": (0.0, 25.0), "line_words": (0.0, 12.0)}  # ranges of statistics that aren't shares, for their quantiles
+GRID = 2000  # bins of a statistic's range
+
+
+def _by_language(found: DataFrame, columns: list[str], add) -> dict[str | None, np.ndarray]:
+    """The sum over all segments of a vector per language that add(batch of one language, x) gives, and under None that of all.
+    Sums are added up batch by batch with numpy and place by place in one aggregate; no more than a vector per language
+    comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for b in batches:
+            x = _numbers(b.column("x"))
+            names = b.column("lang").dictionary_encode()
+            code = names.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            for c in np.unique(code):
+                name = names.dictionary[int(c)].as_py() if c >= 0 else None
+                v = add(b, x, code == c)
+                sums[name] = sums[name] + v if name in sums else v
+        for name, v in sums.items():
+            at = np.flatnonzero(v)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(v[at])], names=["lang", "at", "v"])
+
+    rows = found.select("lang", "x", *columns).mapInArrow(run, "lang string, at int, v double").groupBy("lang", "at").agg(F.sum("v").alias("v")).collect()
+    size = max((r["at"] for r in rows), default=-1) + 1
+    out: dict = {None: np.zeros(size)}
+    for r in rows:
+        out.setdefault(r["lang"], np.zeros(size))[r["at"]] += r["v"]
+    whole = sum(out.values(), np.zeros(size))
+    return {**{k: v for k, v in out.items() if k is not None}, None: whole}
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _scale() -> tuple[np.ndarray, np.ndarray]:
+    low, high = np.array([BINS.get(s, (0.0, 1.0)) for s in STATISTICS]).T
+    return low, high - low
+
+
+def fit(found: DataFrame, rounds: int = 4, inner: float = 16.0, borrow: float = 300.0) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
+    """Mean and inverse covariance of prose for each language and for None, the whole. Each round is one pass over all segments of
+    at least eight words. A language's mean is mixed with that of FEW segments of all, its covariance with that of `borrow`."""
     k = len(STATISTICS)
-    x = [F.col("x")[i] for i in range(k)]
-    spread = [found.where("words >= 8").groupBy("lang").agg(*[F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i, c in enumerate(x)], F.count(F.lit(1)).alias("n"))]
-    spread.append(found.where("words >= 8").agg(F.lit(None).cast("string").alias("lang"), *[F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i, c in enumerate(x)], F.count(F.lit(1)).alias("n")))
-    rows = {r["lang"]: r for r in spread[0].collect() if r["lang"] is not None and r["n"] >= 20}
-    rows[None] = spread[1].first()
-    if not rows[None]["n"]:
+    low, width = _scale()
+
+    def counts(b: pa.RecordBatch, x: np.ndarray, mine: np.ndarray) -> np.ndarray:
+        mine = mine & (b.column("words").to_numpy() >= 8)
+        at = np.clip((x[mine] - low) / width * GRID, 0, GRID - 1).astype(np.int64) + np.arange(k) * GRID
+        return np.bincount(at.ravel(), minlength=k * GRID).astype(np.float64)
+
+    histograms = _by_language(found, ["words"], counts)
+    if not histograms[None].any():
         return {}
-    models = {}
+    full = {name: np.pad(h, (0, k * GRID - len(h))).reshape(k, GRID) for name, h in histograms.items()}
     floor = np.array([0.3, 0.03, 0.01, 0.03, 0.25, 0.15, 0.03])  # least standard deviations
-    for name, r in rows.items():
-        q = np.array([r[f"q{i}"] for i in range(k)])
-        models[name] = (q[:, 1], np.diag(1 / np.maximum((q[:, 2] - q[:, 0]) / 1.349, floor) ** 2))
+
+    def quartiles(h: np.ndarray) -> np.ndarray:
+        upto = np.cumsum(h, 1)
+        return np.stack([[(np.searchsorted(u, p * u[-1]) + 0.5) / GRID for u in upto] for p in (0.25, 0.5, 0.75)], 1) * width[:, None] + low[:, None]
+
+    of_all = quartiles(full[None])
+    models = {}
+    for name, h in full.items():
+        n = h[0].sum()
+        if n:
+            q = (n * quartiles(h) + FEW * of_all) / (n + FEW)
+            models[name] = (q[:, 1], np.diag(1 / np.maximum((q[:, 2] - q[:, 0]) / 1.349, floor) ** 2))
+    i, j = np.triu_indices(k)
     for _ in range(rounds):
-        core = found.where("words >= 8").withColumn("d", distance(models)).where(F.col("d") <= inner)
-        sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(x)] + [F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i in range(k) for j in range(i, k)] + [F.count(F.lit(1)).alias("n")]
-        got = {r["lang"]: r for r in core.groupBy("lang").agg(*sums).collect()}
-        total = {c: sum(r[c] for r in got.values()) for c in next(iter(got.values())).asDict() if c != "lang"} if got else {"n": 0}
-        if total["n"] < 2:
+        now = models
+
+        def moments(b: pa.RecordBatch, x: np.ndarray, mine: np.ndarray) -> np.ndarray:
+            mine = np.flatnonzero(mine & (b.column("words").to_numpy() >= 8))
+            name = b.column("lang")[int(mine[0])].as_py() if len(mine) else None
+            x = x[mine]
+            x = x[_contributions(now.get(name, now[None]), x)[0].sum(1) <= inner]
+            return np.concatenate([[len(x)], x.sum(0), (x[:, i] * x[:, j]).sum(0)])
+
+        got = _by_language(found, ["words"], moments)
+        if not len(got[None]) or got[None][0] < 2:
             break
 
-        def moments(r: dict) -> tuple[np.ndarray, np.ndarray]:
-            mean = np.array([r[f"s{i}"] for i in range(k)]) / r["n"]
-            second = np.zeros((k, k))
-            for i in range(k):
-                for j in range(i, k):
-                    second[i, j] = second[j, i] = r[f"p{i}_{j}"] / r["n"] - mean[i] * mean[j]
-            return mean, second
+        def fitted(v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+            n, mean, second = v[0], v[1 : k + 1] / v[0], np.zeros((k, k))
+            second[i, j] = second[j, i] = v[k + 1 :] / n - mean[i] * mean[j]
+            return n, mean, second
 
-        mean, whole = moments(total)
+        got = {name: np.pad(v, (0, 1 + k + len(i) - len(v))) for name, v in got.items()}
+        _, mean, whole = fitted(got[None])
         models = {None: (mean, np.linalg.inv(whole + np.diag(floor**2)))}
-        for name, r in got.items():
-            if name is not None and r["n"] >= 20:
-                m, c = moments(r.asDict())
-                mixed = (r["n"] * c + borrow * whole) / (r["n"] + borrow)
-                models[name] = (m, np.linalg.inv(mixed + np.diag(floor**2)))
+        for name, v in got.items():
+            if name is not None and v[0] > 0:
+                n, m, c = fitted(v)
+                models[name] = ((n * m + FEW * mean) / (n + FEW), np.linalg.inv((n * c + borrow * whole) / (n + borrow) + np.diag(floor**2)))
     return models
 
 
-def _parts(model: tuple[np.ndarray, np.ndarray]) -> list:
+def _contributions(model: tuple[np.ndarray, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each statistic's part of the squared distance that decides, and the plain squared distance, of each row."""
     mean, inverse = model
-    k = len(mean)
-    off = [F.col("x")[i] - F.lit(float(mean[i])) for i in range(k)]
-    off = [F.least(o, F.lit(0.0)) if s in NO_FAULT_ABOVE else F.greatest(o, F.lit(0.0)) if s in NO_FAULT_BELOW else o for o, s in zip(off, STATISTICS)]
-    return [off[i] * sum((off[j] * F.lit(float(inverse[i, j])) for j in range(k)), F.lit(0.0)) for i in range(k)]
-
-
-def contributions(models: dict):
-    """Each statistic's part of the squared distance from the prose of the segment's language, as an array."""
-    out = F.array(*_parts(models[None]))
-    for name, model in models.items():
-        if name is not None:
-            out = F.when(F.col("lang") == name, F.array(*_parts(model))).otherwise(out)
-    return out
+    off = x - mean
+    plain = np.einsum("ij,jk,ik->i", off, inverse, off)
+    for s in NO_FAULT_ABOVE:
+        off[:, STATISTICS.index(s)] = np.minimum(off[:, STATISTICS.index(s)], 0.0)
+    for s in NO_FAULT_BELOW:
+        off[:, STATISTICS.index(s)] = np.maximum(off[:, STATISTICS.index(s)], 0.0)
+    return off * (off @ inverse), plain
 
 
-def distance(models: dict):
-    """The squared distance from the prose of the segment's language."""
-    return F.aggregate(contributions(models), F.lit(0.0), lambda a, b: a + b)
+COUNTS = ("chars", "words", "letters", "solid", "symbols", "digits", "lines", "ended", "grams", "repeated", "common")
 
 
 def text_quality(documents: DataFrame, key: str, text: str, lang: str, common: DataFrame, beyond: float = CUT) -> DataFrame:
     """One row per document with a text that has a character: key, lang, chars, words, mean_word_length, symbol_share,
     digit_share, line_end_share, common_share, line_words, repeated_share, distance (the mean of its segments' distances by
-    characters), outlying_share (the part of its characters in segments whose squared distance exceeds `beyond`), and for each
+    characters), plain_distance (that of their plain Mahalanobis distances), outlying_share (the part of its characters in segments whose squared distance exceeds `beyond`), and for each
     of STATISTICS part_<statistic>, its mean part of the squared distance by characters.
 
     Null texts and those of white space only give no row; repeated keys are one document with all their segments. lang is
-    that of most of the characters. Texts of any length are read whole, in pieces. Statistics and models cover all
+    that of its longest segment. Texts of any length are read whole; parts of long ones change nothing. Statistics and models cover all
     documents; per language one mean and covariance come to the driver, no text does.
     """
     found, names = segments(documents, key, text, lang, common)
     found = cut(found)
-    models = fit(found, names)
+    models = fit(found)
     if not models:
         models = {None: (np.zeros(len(STATISTICS)), np.eye(len(STATISTICS)))}
-    scored = found.withColumn("parts", contributions(models)).withColumn("d", F.aggregate("parts", F.lit(0.0), lambda a, b: a + b))
-    weight = F.col("chars").cast("double")
-    sums = [F.sum(c).alias(c) for c in ("chars", "words", "letters", "solid", "symbols", "digits", "lines", "ended", "grams", "repeated", "common")]
-    sums += [F.sum(weight * F.sqrt(F.greatest("d", F.lit(0.0)))).alias("far"), F.sum(F.when(F.col("d") > beyond, weight).otherwise(0.0)).alias("out")]
-    sums += [F.sum(weight * F.col("parts")[i]).alias(f"part_{s}") for i, s in enumerate(STATISTICS)]
-    tongue = F.max(F.struct("chars", "lang"))["lang"].alias("lang")
-    by = scored.groupBy("doc").agg(*sums, tongue)
-    share = lambda a, b: F.round(F.col(a) / F.greatest(F.col(b), F.lit(1)), 6)
+    kind = documents.schema[key].dataType.simpleString()
+    sums = (*COUNTS, "far", "plain", "out", *(f"part_{s}" for s in STATISTICS))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, said = _numbers(b.column("x")), b.column("lang").to_pylist()
+            share, plain = np.empty_like(x), np.empty(len(x))
+            tongue = np.array([names.index(n) if n is not None and n in models else -1 for n in said])
+            for c in np.unique(tongue):
+                mine = tongue == c
+                share[mine], plain[mine] = _contributions(models[names[c] if c >= 0 else None], x[mine])
+            d, chars = share.sum(1), b.column("chars").to_numpy().astype(np.float64)
+            columns = [b.column(c).to_numpy().astype(np.float64) for c in COUNTS]
+            columns += [chars * np.sqrt(np.maximum(d, 0.0)), chars * np.sqrt(np.maximum(plain, 0.0)), np.where(d > beyond, chars, 0.0), *(chars * share[:, i] for i in range(x.shape[1]))]
+            doc = b.column("doc")
+            new = np.ones(len(x), bool)
+            if len(x) > 1:
+                new[1:] = ~pc.fill_null(pc.equal(doc.slice(1), doc.slice(0, len(x) - 1)), False).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new)  # a document's segments lie together, so mostly one row each is left
+            longest = np.lexsort((tongue, chars, np.cumsum(new)))[np.append(starts[1:], len(x)) - 1]
+            yield pa.RecordBatch.from_arrays([doc.take(pa.array(starts)), pa.array(chars[longest].astype(np.int64)), pa.array([said[i] for i in longest], pa.string()), *(pa.array(np.add.reduceat(c, starts)) for c in columns)], names=["doc", "most", "lang", *sums])
+
+    scored = found.select("doc", "lang", "x", *COUNTS).mapInArrow(score, f"doc {kind}, most long, lang string, {', '.join(f'{c} double' for c in sums)}")
+    by = scored.groupBy("doc").agg(*[F.sum(c).alias(c) for c in sums], F.max(F.struct("most", "lang"))["lang"].alias("lang"))
+    share = lambda a, b: F.round(F.col(a) / F.greatest(F.col(b), F.lit(1.0)), 6)
+    mean = lambda c: F.round(F.col(c) / F.col("chars"), 6)
     return by.select(
-        F.col("doc").alias(key), "lang", "chars", "words", share("letters", "words").alias("mean_word_length"), share("symbols", "solid").alias("symbol_share"), share("digits", "solid").alias("digit_share"), share("ended", "lines").alias("line_end_share"), share("common", "words").alias("common_share"), share("words", "lines").alias("line_words"), share("repeated", "grams").alias("repeated_share"),
-        F.round(F.col("far") / F.col("chars"), 6).alias("distance"), F.round(F.col("out") / F.col("chars"), 6).alias("outlying_share"), *[F.round(F.col(f"part_{s}") / F.col("chars"), 6).alias(f"part_{s}") for s in STATISTICS],
+        F.col("doc").alias(key), "lang", F.col("chars").cast("long").alias("chars"), F.col("words").cast("long").alias("words"), share("letters", "words").alias("mean_word_length"), share("symbols", "solid").alias("symbol_share"), share("digits", "solid").alias("digit_share"), share("ended", "lines").alias("line_end_share"), share("common", "words").alias("common_share"), share("words", "lines").alias("line_words"), share("repeated", "grams").alias("repeated_share"),
+        mean("far").alias("distance"), mean("plain").alias("plain_distance"), mean("out").alias("outlying_share"), *[mean(f"part_{s}").alias(f"part_{s}") for s in STATISTICS],
     )

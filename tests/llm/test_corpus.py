@@ -151,6 +151,23 @@ def test_word_hashes_and_counts():
     assert m["words"].tolist() == [5, 2, 1] and m["digits"].tolist() == [2, 0, 0] and m["lines"].tolist() == [2, 1, 1] and m["ended"].tolist() == [1, 0, 0]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_parts_of_a_long_text_change_nothing(seed, monkeypatch):
+    """Whole or in parts: the same segments with the same counts, repetition across parts included; lines are never cut."""
+    rng = random.Random(seed)
+    table = np.sort(np.array([Q.word_hash(w) for w in ("the", "of")], np.uint64))
+    block = " ".join(rng.choice(["the", "of", "river", "stone", "x1", "%%"]) for _ in range(40))
+    text = "".join(rng.choice(["the river of stone ", "a. ", "12;", "\n", "\n \n", "\r\n", block, "word\n", "long " * 50]) for _ in range(400))
+    want = Q.measure([text], [table])
+    for size in (1, 300, 2000):
+        cut = Q.parts(text, size)
+        assert "\n".join(cut).replace("\r", "\n") == text.replace("\r", "\n") and (len(cut) > 3 or size > 300)
+        monkeypatch.setattr(Q, "PIECE", size)
+        got = Q._measured([text], [table])
+        assert want.keys() == got.keys() and all((want[c] == got[c]).all() for c in want), size
+    assert Q.parts("no line end " * 500, 10) == ["no line end " * 500]
+
+
 NOUNS = "man house friend town letter morning river chair garden ticket engine window market sailor".split()
 
 
