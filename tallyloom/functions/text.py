@@ -57,3 +57,24 @@ def preview(c: Column | str, limit: int) -> Column:
     """White space collapsed, cut to limit characters of which the last three are dots."""
     s = collapse(c)
     return F.when(F.length(s) <= limit, s).otherwise(F.concat(F.substring(s, 1, limit - 3), F.lit("...")))
+
+
+def matched_community(wanted: list[str], name: Column | str = "subreddit", other: Column | str = "subreddit_id") -> Column:
+    """The wanted community that a record belongs to: its community if that is wanted, else its community's id if that is, else
+    null. Wanted names are in normal form."""
+    a, b = community(name), community(other)
+    return F.coalesce(F.when(a.isin(*wanted), a), F.when(b.isin(*wanted), b))
+
+
+def without_parts(c: Column | str, parts: tuple[str, ...] = ("bot",), keep: tuple[str, ...] = ()) -> Column:
+    """Whether a name holds none of the parts in any case; blank parts count for nothing. Names in keep always stay."""
+    low = F.lower(col(c))
+    ok = F.lit(True)
+    for p in (p.strip().lower() for p in parts):
+        ok = ok & ~low.contains(p) if p else ok
+    return ok | col(c).isin(*keep) if keep else ok
+
+
+def whole_numbers(text: str) -> list[int]:
+    """The numbers of a list like "8, 16,32"; blank items are skipped."""
+    return [int(x) for x in text.split(",") if x.strip()]

@@ -316,6 +316,19 @@ def pooled_chunks(chunks: DataFrame) -> DataFrame:
     return unit(rows.repartition("id").sortWithinPartitions("id").mapInArrow(run, f"id {kind}, v array<double>"), "id", "v")
 
 
+def unique_texts(pairs: DataFrame, a: str = "text_a", b: str = "text_b") -> DataFrame:
+    """(text): the different non-null texts of two columns."""
+    return pairs.select(F.col(a).alias("text")).union(pairs.select(F.col(b).alias("text"))).where("text IS NOT NULL").distinct()
+
+
+def score_pairs(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """pairs (text_a, text_b, ...) with similarity, the product of the unit vectors (text, v) of both texts; pairs without either
+    vector fall away. Each text has one vector, so a text in many pairs is joined, not encoded again."""
+    side = lambda t, v: vectors.select(F.col("text").alias(t), F.col("v").alias(v))
+    both = pairs.join(side("text_a", "x_"), "text_a").join(side("text_b", "y_"), "text_b")
+    return both.withColumn("similarity", dot("x_", "y_")).drop("x_", "y_")
+
+
 def embed(texts: DataFrame, text: str, encode: Callable[[list[str]], np.ndarray], size: int = 256) -> DataFrame:
     """texts with v, the encoder's vector of the text, in batches. The encoder is any function from texts to rows of numbers."""
     shape = ", ".join([*(f"`{c}` {t}" for c, t in texts.dtypes), "v array<float>"])

@@ -71,11 +71,13 @@ def standardize(rows: DataFrame, columns: list[str], fit_on: Column) -> DataFram
 
 
 def models(features: int, seed: int = 42, rounds: int = 500) -> dict:
-    """The classifiers by name; the second boosting stands for another library's and differs in depth."""
+    """The classifiers by name; the second boosting stands for another library's and differs in depth. Boosting stops once the
+    validation part gains no more."""
     common = {"labelCol": "y", "featuresCol": "features", "seed": seed}
+    early = {"validationIndicatorCol": "validation_", "validationTol": 0.001}
     return {
-        "boosting": GBTClassifier(maxIter=rounds, stepSize=0.05, maxDepth=5, **common),
-        "boosting_deep": GBTClassifier(maxIter=rounds, stepSize=0.05, maxDepth=7, **common),
+        "boosting": GBTClassifier(maxIter=rounds, stepSize=0.05, maxDepth=5, **early, **common),
+        "boosting_deep": GBTClassifier(maxIter=rounds, stepSize=0.05, maxDepth=7, **early, **common),
         "forest": RandomForestClassifier(numTrees=rounds, **common),
         "perceptron": MultilayerPerceptronClassifier(layers=[features, 128, 64, 32, 2], **common),
     }
@@ -84,7 +86,10 @@ def models(features: int, seed: int = 42, rounds: int = 500) -> dict:
 def train(rows: DataFrame, columns: list[str], model) -> tuple[object, DataFrame]:
     """The model fitted on the split train, and (key columns, y, split, score) for all rows."""
     put = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(rows.withColumn("y", F.col("y").cast("double")))
-    fitted = model.fit(put.where("split = 'train'"))
+    if model.hasParam("validationIndicatorCol") and model.isSet("validationIndicatorCol"):
+        fitted = model.fit(put.where("split IN ('train', 'validation')").withColumn(model.getOrDefault("validationIndicatorCol"), F.col("split") == "validation"))
+    else:
+        fitted = model.fit(put.where("split = 'train'"))
     scored = fitted.transform(put).withColumn("score", vector_to_array("probability")[1])
     return fitted, scored.select("author", F.col("y").cast("int").alias("y"), "split", "score")
 
@@ -136,6 +141,13 @@ def metrics(scored: DataFrame, threshold: float) -> DataFrame:
     return both.select("threshold", F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("won") / (F.col("p") * F.col("n"))).alias("roc_auc"), _ratio(F.col("ap"), F.col("p")).alias("pr_auc"), "precision", "recall", "f1", F.when(chance < 1, (seen - chance) / (1 - chance)).otherwise(0.0).alias("kappa"), _ratio(F.col("fp"), F.col("fp") + F.col("tn")).alias("fpr"), _ratio(F.col("fn"), F.col("fn") + F.col("tp")).alias("fnr"), "tp", "fp", "fn", "tn")
 
 
+def tree_importance(fitted, columns: list[str], spark, least: float = 0.01) -> DataFrame:
+    """(feature, importance, droppable): a tree model's own importances; a feature below `least` of the greatest is droppable."""
+    values = [float(v) for v in fitted.featureImportances.toArray()]
+    top = max(values, default=0.0)
+    return spark.createDataFrame([(c, v, v < least * top) for c, v in zip(columns, values)], "feature string, importance double, droppable boolean")
+
+
 def permutation_importance(rows: DataFrame, columns: list[str], model, repeats: int = 3, seed: int = 42) -> DataFrame:
     """(feature, importance): the mean loss of ROC area when a column's values are exchanged between rows, for each column."""
     put = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")

@@ -89,8 +89,9 @@ def author_features(spark: SparkSession, d: str) -> DataFrame:
     who = c.select("author").distinct()
     parents = rows.select("id", "created_utc")
     known = G.domain_coverage(G.author_urls(c, s).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))).where(F.col("rank") <= WHITELIST).select("domain")
-    groups = [who, G.activity(c, s), G.intervals(c, s), G.reply_times(c, parents), G.engagement(c, s), G.moderation(c, s), G.communities(c, s), G.stylometry(c, s), G.links(c, s, known), G.names(who)]
-    return _round(G.join_features(groups), 3)
+    fine = [G.activity(c, s), G.engagement(c, s), G.moderation(c, s), G.communities(c, s), G.stylometry(c, s), G.links(c, s, known), G.names(who)]
+    coarse = [G.intervals(c, s), G.reply_times(c, parents)]
+    return G.join_features([who, *map(_round, fine), *(_round(g, 3) for g in coarse)])
 
 
 _CS = sql_records("comments", "c0", *_C) + ", c AS (SELECT * FROM c0 WHERE author IS NOT NULL), " + sql_records("submissions", "s0", *_S) + ", s AS (SELECT * FROM s0 WHERE author IS NOT NULL)"
@@ -163,3 +164,5 @@ tw AS (SELECT author, unnest(regexp_extract_all(regexp_replace(lower(text), '[À
 tt AS (SELECT author, round(count(DISTINCT w) / count(*), 5) AS type_token_ratio FROM tw GROUP BY author)
 SELECT g.*, coalesce(type_token_ratio, 0) AS type_token_ratio, repetition_ratio FROM g LEFT JOIN tt USING (author) LEFT JOIN rp USING (author)""",
 }
+_GROUPS = ("activity", "engagement", "moderation", "community", "text_stylometrics", "url", "username", "interval", "reply_time")
+SQL["author_features"] = f"WITH {_CS} SELECT * FROM (SELECT DISTINCT author FROM c) " + " ".join(f"LEFT JOIN ({SQL[g if g in SQL else g + '_features']}) AS {g}_ USING (author)" for g in _GROUPS)

@@ -13,7 +13,7 @@ from tallyloom.operators import training as M
 from tallyloom.operators.records import numbered
 from tallyloom.operators.timing import bare_id
 from tallyloom.plans import feature_queries
-from tallyloom.plans.base import comments, planted, sql_author, sql_planted, sql_records, submissions
+from tallyloom.plans.base import S, comments, planted, sql_author, sql_planted, sql_records, submissions
 from tallyloom.session import cut, table
 
 LEAST_POSTS, SURE = 3, 0.9
@@ -140,7 +140,35 @@ def bernoulli_comments(spark: SparkSession, d: str) -> DataFrame:
 
 def named_bot_exclusion(spark: SparkSession, d: str) -> DataFrame:
     """Comments whose author's name doesn't hold "bot" in any case."""
-    return comments(spark, d, "author").where("author IS NOT NULL").where(~F.lower("author").contains("bot"))
+    return comments(spark, d, "author").where("author IS NOT NULL").where(X.without_parts("author", ("bot", " ")))
+
+
+def community_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Comments of the largest communities, by name or by id, and how many of each."""
+    wanted = [r[0] for r in table(spark, d, "communities").where("_meta.num_posts >= 3000").select(X.community("display_name")).distinct().collect()]  # a directory that never grows
+    by_id = [r[0] for r in table(spark, d, "communities").where("_meta.num_posts BETWEEN 1000 AND 2000 AND id IS NOT NULL").select(X.community(F.concat(F.lit("t5_"), F.regexp_replace("id", "^t5_", "")))).distinct().collect()]
+    rows = table(spark, d, "comments").where("id IS NOT NULL").select("id", X.matched_community([*wanted, *by_id]).alias("community")).distinct()
+    return rows.where("community IS NOT NULL").groupBy("community").agg(F.count(F.lit(1)).alias("n"))
+
+
+def author_merge_both(spark: SparkSession, d: str) -> DataFrame:
+    """Authors that have both comments and submissions, and enough of them."""
+    by = _posts(spark, d).groupBy("author").agg(F.count_if(F.col("kind") == "comment").alias("n_comments"), F.count_if(F.col("kind") == "submission").alias("n_submissions"))
+    return by.where((F.col("n_comments") > 0) & (F.col("n_submissions") > 0) & (F.col("n_comments") + F.col("n_submissions") >= LEAST_POSTS))
+
+
+def author_list_union(spark: SparkSession, d: str) -> DataFrame:
+    """The different authors of several lists, less those excluded: comments and submissions, less ranked authors."""
+    lists = comments(spark, d, "author").select("author").union(submissions(spark, d, "author").select("author")).where("author IS NOT NULL").distinct()
+    return J.drop_members(lists, _ranked(spark, d), "author")
+
+
+def forest_importance(spark: SparkSession, d: str) -> DataFrame:
+    """A forest's own importance of each feature, and which could be dropped."""
+    rows = cut(prepared_features(spark, d))
+    columns = [c for c in rows.columns if c not in ("author", "y", "split")]
+    fitted, _ = M.train(rows, columns, M.models(len(columns), rounds=20)["forest"])
+    return M.tree_importance(fitted, columns, spark)
 
 
 def community_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -228,6 +256,10 @@ _RANKED = f"""rk AS (SELECT author, max(score) AS score FROM (SELECT {sql_author
 _NOT = ", ".join(f"'{x}'" for x in R.NOT_BOTS)
 
 
+def _norm(c: str) -> str:
+    return f"nullif(trim(regexp_replace(lower(trim({c}, {S})), '^/?r/', ''), {S}), '')"
+
+
 def _sql_pattern(a: str, guard: bool) -> str:
     g = f"WHEN lower({a}) IN ({_NOT}) THEN NULL " if guard else ""
     return f"CASE {g}WHEN lower({a}) = 'bot' THEN 'exact' WHEN regexp_matches(lower({a}), '\\bbot\\b') THEN 'bot' WHEN regexp_matches(lower({a}), '\\bmod\\b') THEN 'mod' WHEN regexp_matches(lower({a}), '(^bot_|_bot$|_bot_)') THEN '_bot' END"
@@ -264,7 +296,7 @@ f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FRO
 
 _LV = "lv AS (SELECT score, sum(y) AS pos, sum(1 - y) AS neg FROM sc GROUP BY 1), cu AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS pp, sum(neg) OVER () AS nn FROM lv WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))"
 
-QUERIES = {f.__name__: f for f in (name_patterns, name_labels, phrase_matches, bot_authors, human_authors, rule_labels, label_summary, false_positive_diagnosis, label_list_changes, semi_join_authors, anti_join_authors, comments_of_known_posts, wanted_parents, author_merge, dedup_first, upsert_last, author_set_check, sampled_authors, quota_sample_by_period, bernoulli_comments, named_bot_exclusion, community_merge, ranked_communities, column_profile, correlation_pairs, null_rates, threshold_sweep, binary_metrics, curve_points, prepared_features, model_metrics)}
+QUERIES = {f.__name__: f for f in (name_patterns, name_labels, phrase_matches, bot_authors, human_authors, rule_labels, label_summary, false_positive_diagnosis, label_list_changes, semi_join_authors, anti_join_authors, comments_of_known_posts, wanted_parents, author_merge, dedup_first, upsert_last, author_set_check, sampled_authors, quota_sample_by_period, bernoulli_comments, named_bot_exclusion, community_matches, author_merge_both, author_list_union, community_merge, ranked_communities, column_profile, correlation_pairs, null_rates, threshold_sweep, binary_metrics, curve_points, prepared_features, model_metrics, forest_importance)}
 SQL = {
     "name_patterns": f"{_ALL} SELECT * FROM (SELECT author, {_sql_pattern('author', True)} AS pattern FROM (SELECT author FROM po UNION SELECT author FROM {sql_planted(_NAME_ROWS, 'author string')})) WHERE pattern IS NOT NULL",
     "name_labels": f"""{_ALL}, n AS (SELECT author, lower(author) AS low FROM (SELECT author FROM po UNION SELECT author FROM {sql_planted(_NAME_ROWS, 'author string')})),
@@ -285,6 +317,11 @@ SELECT change, count(*) AS n FROM (SELECT CASE WHEN x.author IS NOT NULL AND y.a
     "comments_of_known_posts": f"{_C1} SELECT id, regexp_replace(link_id, '^t[123]_', '') AS post FROM c0 WHERE regexp_replace(link_id, '^t[123]_', '') IN (SELECT id FROM s0)",
     "wanted_parents": f"WITH {sql_records('comments', 'c0', 'author', 'created_utc', 'parent_id')} SELECT id, author, created_utc FROM c0 WHERE id IN (SELECT substr(parent_id, 4) FROM c0 WHERE starts_with(parent_id, 't1_'))",
     "author_merge": f"WITH {_POSTS} SELECT author, count(*) FILTER (kind = 'comment') AS n_comments, count(*) FILTER (kind = 'submission') AS n_submissions FROM po GROUP BY 1 HAVING count(*) >= {LEAST_POSTS}",
+    "author_merge_both": f"WITH {_POSTS} SELECT author, count(*) FILTER (kind = 'comment') AS n_comments, count(*) FILTER (kind = 'submission') AS n_submissions FROM po GROUP BY 1 HAVING count(*) >= {LEAST_POSTS} AND count(DISTINCT kind) = 2",
+    "author_list_union": f"{_ALL} SELECT DISTINCT author FROM po WHERE author NOT IN (SELECT author FROM rk)",
+    "community_matches": f"""WITH n AS (SELECT id, {_norm('subreddit')} AS a, {_norm('subreddit_id')} AS b FROM comments WHERE id IS NOT NULL),
+k AS (SELECT {_norm('display_name')} AS k FROM communities WHERE _meta.num_posts >= 3000 UNION SELECT {_norm("'t5_' || regexp_replace(id, '^t5_', '')")} FROM communities WHERE _meta.num_posts BETWEEN 1000 AND 2000 AND id IS NOT NULL)
+SELECT community, count(*) AS n FROM (SELECT DISTINCT id, CASE WHEN a IN (SELECT k FROM k) THEN a WHEN b IN (SELECT k FROM k) THEN b END AS community FROM n) WHERE community IS NOT NULL GROUP BY 1""",
     "dedup_first": _COPIES.format("ASC"),
     "upsert_last": _COPIES.format("DESC"),
     "author_set_check": f"{_ALL} SELECT author IN (SELECT author FROM po) AS has_posts, count(*) AS n FROM rk GROUP BY 1",

@@ -34,6 +34,15 @@ def p1_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity_features(cells, layout="wide").withColumnRenamed("entity", "author")
 
 
+def p1_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide feature table folded to a row per author: sums over its columns, each weighted by its place, so that a value in a
+    wrong column shows."""
+    wide = p1_features(spark, sf_dir)
+    each = lambda what: [(i + 1, F.col(f"{what}_{i}")) for i in range((len(wide.columns) - 5) // 3)]
+    fold = lambda what, zero: F.aggregate(F.array(*[F.coalesce(c * i, zero) for i, c in each(what)]), zero, lambda a, x: a + x)
+    return wide.select("author", "n_events", F.floor("last").cast("long").alias("last_utc"), "n_types", fold("n", F.lit(0).cast("long")).alias("n_check"), F.round(fold("total", F.lit(0.0)), 3).alias("total_check"), F.round(fold("recency", F.lit(0.0)), 0).alias("recency_check"))
+
+
 def p4_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sessions(comment_events(spark, sf_dir), "author", "created_utc", SESSION_GAP)
     return found.select(F.col("entity").alias("author"), F.floor("start").cast("long").alias("start_utc"), F.floor("end").cast("long").alias("end_utc"), F.round("duration", 3).alias("duration"), F.col("n").alias("n_comments"))
@@ -95,9 +104,12 @@ SQL_RECORDS = f"""records_ AS (
     SELECT {SQL_AUTHOR} AS a, json_extract_string(TRY_CAST(payload AS JSON), '$.id') AS r, kind FROM records)
   WHERE a IS NOT NULL AND r IS NOT NULL AND r <> '' GROUP BY r)"""
 
-QUERIES = {"p1_found": p1_found, "p1_features": p1_features, "p4_found": p4_found, "p4_sessions": p4_sessions, "p6_found": p6_found, "p6_counts": p6_counts, "p6_matched": p6_matched}
+QUERIES = {"p1_found": p1_found, "p1_features": p1_features, "p1_checks": p1_checks, "p4_found": p4_found, "p4_sessions": p4_sessions, "p6_found": p6_found, "p6_counts": p6_counts, "p6_matched": p6_matched}
 SQL = {
     "p1_found": f"WITH {SQL_EVENTS} SELECT author, subreddit, count(*) AS n_comments, CAST(floor(max(created_utc)) AS BIGINT) AS last_utc FROM events_ WHERE subreddit IS NOT NULL GROUP BY 1, 2",
+    "p1_checks": f"""WITH {SQL_EVENTS}, c AS (SELECT author, subreddit, count(*) AS n, max(created_utc) AS t FROM events_ WHERE subreddit IS NOT NULL GROUP BY 1, 2),
+k AS (SELECT subreddit, row_number() OVER (ORDER BY subreddit) AS i FROM (SELECT DISTINCT subreddit FROM c)), m AS (SELECT max(t) AS m FROM c)
+SELECT author, CAST(sum(n) AS BIGINT) AS n_events, CAST(floor(max(t)) AS BIGINT) AS last_utc, CAST(count(*) AS INT) AS n_types, CAST(sum(n * i) AS BIGINT) AS n_check, round(sum(n * i)::DOUBLE, 3) AS total_check, round(sum((m - t) * i), 0) AS recency_check FROM c JOIN k USING (subreddit), m GROUP BY author""",
     "p4_found": f"{SQL_SESSIONS} FROM s2 GROUP BY author, k",
     "p4_sessions": f"{SQL_SESSIONS}, round(max(created_utc) - min(created_utc), 3) AS duration, count(*) AS n_comments FROM s2 GROUP BY author, k",
     "p6_found": f"WITH {SQL_RECORDS} SELECT author FROM records_ GROUP BY author HAVING count(*) >= 0.01 * (SELECT count(*) FROM records_)",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import os
 import re
 
@@ -14,19 +14,24 @@ from pyspark.sql import types as T
 from tallyloom.functions.text import NO_TEXT, collapse, strip, word_count
 from tallyloom.operators.records import numbered
 from tallyloom.schema import POST
+from tallyloom.sources.paths import below, matching
 
 
-def discover(inputs: list[str] | str, patterns: tuple[str, ...] = ("*",), recursive: bool = False) -> list[str]:
-    """Files named by paths, folders or globs, each once by its absolute path, in order."""
+def discover(inputs: list[str] | str, patterns: tuple[str, ...] = ("*",), recursive: bool = False, spark: SparkSession | None = None) -> list[str]:
+    """Files named by paths, folders or globs on any file system, each once, in order; of folders those whose name fits one of the
+    patterns, with recursive at any depth."""
+    spark = spark or SparkSession.active()
     found = set()
+    fits = lambda f: any(fnmatch.fnmatch(f.rsplit("/", 1)[-1], p) for p in patterns)
     for given in [inputs] if isinstance(inputs, str) else inputs:
-        for path in sorted(glob.glob(given, recursive=recursive)) or [given]:
-            if os.path.isdir(path):
-                for p in patterns:
-                    found.update(glob.glob(os.path.join(path, "**" if recursive else "", p), recursive=recursive))
-            elif os.path.isfile(path):
+        for path, folder in matching(spark, given):
+            if not folder:
                 found.add(path)
-    return sorted({os.path.abspath(f) for f in found if os.path.isfile(f)})
+            elif recursive:
+                found.update(f for f in below(spark, path) if fits(f))
+            else:
+                found.update(f for f, inner in matching(spark, f"{path.rstrip('/')}/*") if not inner and fits(f))
+    return sorted(found)
 
 
 def period_of(name: str) -> tuple[int | None, int | None]:
@@ -101,7 +106,8 @@ def nested(spark: SparkSession, paths: list[str] | str, field: str, schema: T.St
 
 def prefix_author(line: Column, n: int = 100) -> Column:
     """The author named in the first n characters of a JSON line, without parsing it."""
-    return F.regexp_extract(F.substring(line, 1, n), r'^\s*\{\s*"author"\s*:\s*"([^"]*)"', 1)
+    text = F.regexp_extract(F.substring(line, 1, n), r'^\s*\{\s*"author"\s*:\s*"((?:[^"\\]|\\.)*)"', 1)
+    return F.get_json_object(F.concat(F.lit('{"a":"'), text, F.lit('"}')), "$.a")
 
 
 def read_list(spark: SparkSession, path: str, name: str = "author") -> DataFrame:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import preview
+from tallyloom.sources.paths import matching, write_text
 
 
 def write_lines(rows: DataFrame, path: str, column: str = "raw", gzip: bool = False, mode: str = "overwrite") -> None:
@@ -47,9 +47,7 @@ def write_sorted_list(rows: DataFrame, path: str, column: str = "author", mode:
 def write_summary(rows: DataFrame, path: str, **counters) -> dict:
     """One aggregate over the rows, as a JSON file; counters are aggregate columns by name."""
     found = rows.agg(*[c.alias(n) for n, c in counters.items()]).first().asDict()
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(found, f, ensure_ascii=False, indent=1, sort_keys=True, default=str)
+    write_text(rows.sparkSession, path, json.dumps(found, ensure_ascii=False, indent=1, sort_keys=True, default=str))
     return found
 
 
@@ -58,7 +56,7 @@ def append_new(rows: DataFrame, path: str, key: str) -> int:
     stopped."""
     spark = rows.sparkSession
     fresh = rows
-    if os.path.isdir(path) and any(n.endswith(".parquet") for n in os.listdir(path)):
+    if matching(spark, f"{path}/*.parquet"):
         fresh = rows.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
     fresh = fresh.persist()
     n = fresh.count()

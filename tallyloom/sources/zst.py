@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import glob
 import io
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tallyloom.sources.paths import matching
+
 MAGIC = bytes.fromhex("28b52ffd")
 WINDOW = 1 << 31
 
@@ -19,12 +20,22 @@ class _File(InputPartition):
         self.path = path
 
 
+def _opened(path: str):
+    """A stream of the bytes of a local file, or of one at an address that Arrow's file systems know."""
+    if "://" not in path:
+        return open(path.removeprefix("file:"), "rb")
+    from pyarrow.fs import FileSystem
+
+    system, inner = FileSystem.from_uri(path)
+    return system.open_input_stream(inner, compression=None)
+
+
 def lines_of(path: str, window: int = WINDOW) -> Iterator[tuple[int, str | None, str | None]]:
     """(line number, line, error): all lines that can be read; a broken archive ends with a row that holds the error."""
     import zstandard
 
     n = 0
-    with open(path, "rb") as f:
+    with _opened(path) as f:
         try:
             reader = zstandard.ZstdDecompressor(max_window_size=window).stream_reader(f, read_across_frames=True)
             for line in io.TextIOWrapper(reader, encoding="utf-8", errors="replace", newline="\n"):
@@ -35,7 +46,7 @@ def lines_of(path: str, window: int = WINDOW) -> Iterator[tuple[int, str | None,
 
 
 class ZstLines(DataSource):
-    """format("zst_lines").load(path or glob): file, line_no, value, error. One archive is one task, as it can't be split;
+    """format("zst_lines").load(paths, one a line): file, line_no, value, error. One archive is one task, as it can't be split;
     repartition after reading. A task holds the archive's window, up to 2 GB."""
 
     @classmethod
@@ -51,7 +62,7 @@ class ZstLines(DataSource):
 
 class _Reader(DataSourceReader):
     def __init__(self, options) -> None:
-        self.paths = [q for p in options["path"].split("\n") for q in sorted(glob.glob(p)) or [p]]
+        self.paths = options["path"].split("\n")
         self.window = int(options.get("maxWindow", WINDOW))
 
     def partitions(self) -> list[InputPartition]:
@@ -65,7 +76,8 @@ class _Reader(DataSourceReader):
 def read_zst(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """(file, line_no, value, error) of the archives; rows with an error say which archives are broken after how many lines."""
     spark.dataSource.register(ZstLines)
-    return spark.read.format("zst_lines").load("\n".join([paths] if isinstance(paths, str) else paths))
+    found = [q for p in ([paths] if isinstance(paths, str) else paths) for q in [f for f, folder in matching(spark, p) if not folder] or [p]]
+    return spark.read.format("zst_lines").load("\n".join(found))
 
 
 def check_whole(path: str) -> tuple[str, int, str]:
@@ -74,7 +86,7 @@ def check_whole(path: str) -> tuple[str, int, str]:
     for n, _, error in lines_of(path):
         pass
     if error is None:
-        with open(path, "rb") as f:
+        with _opened(path) as f:
             if f.read(4) != MAGIC:
                 return "CORRUPTED", n, "no zstandard frame"
         return ("OK", n, "") if _ends_whole(path) else ("CORRUPTED", n, "the last frame is cut off")
@@ -86,7 +98,7 @@ def _ends_whole(path: str) -> bool:
     import zstandard
 
     d = None
-    with open(path, "rb") as f:
+    with _opened(path) as f:
         while chunk := f.read(1 << 20):
             while chunk:
                 if d is None:
@@ -106,7 +118,7 @@ def check_head(path: str) -> tuple[str, int, str]:
     """(status, lines, message) from the first bytes only: BAD_HEADER without the magic number, VALID with two readable lines,
     SHORT_OK with fewer, CORRUPTED if they can't be read."""
     try:
-        with open(path, "rb") as f:
+        with _opened(path) as f:
             if f.read(4) != MAGIC:
                 return "BAD_HEADER", 0, "no zstandard frame"
     except OSError as e:
