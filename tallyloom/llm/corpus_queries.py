@@ -116,4 +116,4 @@ FROM pack_capacities, (SELECT count(*) AS n_documents FROM {SQL_TEXTS}) WHERE ca
     "p9_invariants": f"""SELECT source, target_share, max_repeats, source IN (SELECT {_SOURCE} FROM {SQL_TEXTS} WHERE {_SOURCE} IS NOT NULL) AS has_documents, true AS within_repeats, true AS near_budget
 FROM (SELECT {_SOURCE} AS source, target_share, max_repeats FROM mix_targets WHERE target_share > 0 AND max_repeats > 0)""",
 }
-QUERIES = {"p8_invariants": p8_invariants, "p9_invariants": p9_invariants, "p8_containers": p8_containers, "p8_filling": p8_filling, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_stretched_shares": p9_stretched_shares, "p10_found": p10_found, "p10_quality": p10_quality}
+QUERIES = {"p8_containers": p8_containers, "p8_filling": p8_filling, "p8_invariants": p8_invariants, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_stretched_shares": p9_stretched_shares, "p9_invariants": p9_invariants, "p10_found": p10_found, "p10_quality": p10_quality}
