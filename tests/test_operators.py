@@ -320,3 +320,69 @@ def test_streams_equal_batch(spark, tmp_path):
     assert closed == {(r["entity"], int(r["start"]), int(r["end"]), r["n"]) for r in sessions(batch, "author", "created_utc", 120.0).collect()}
     near = sorted((r["thread"], r["previous_author"], r["author"], r["delta_seconds"]) for r in run(lambda s: stream_adjacent(s, 100), "adj"))
     assert near == sorted((r["thread_id"], r["previous_author"], r["responder_author"], r["delta_seconds"]) for r in T.adjacent_responses(batch, "thread", 100).collect())
+
+
+def test_character_grams_equal_the_text(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice("abc"), rng.choice(["x.example", "Y.test", "é", "a  b", "xx", "x"])) for _ in range(60)] + [("only", "q"), (None, "x"), ("a", None)]
+    got = {}
+    for r in C.char_grams(spark.createDataFrame(rows, "author string, token string")).collect():
+        got.setdefault(r["author"], []).append(r["token"])
+    for who in {a for a, t in rows if a and t}:
+        text = " ".join(sorted(t.lower().replace("  ", " ") for a, t in rows if a == who and t))
+        assert sorted(got[who]) == sorted([*text, *(text[i : i + 2] for i in range(len(text) - 1))]), who
+
+
+def test_sampled_thresholds_and_shared_tokens(spark):
+    rng = random.Random(4)
+    rows = [(f"a{rng.randrange(25):02d}", f"t{min(rng.randrange(30), rng.randrange(30)):02d}") for _ in range(300)]
+    tokens = spark.createDataFrame(rows, "author string, token string")
+    weights = C.tfidf(tokens, 2, 0.9).cache()
+    names, s = dense_cosine(rows, 2, 0.9)
+    flat = np.round(s[np.triu_indices(len(names), 1)], 9)
+    for percent in (50.0, 99.0):  # a sample of all pairs is all pairs
+        assert math.isclose(C.sampled_percentile(weights, 10_000, percent), np.percentile(flat, percent), abs_tol=1e-9)
+    some = C.sampled_percentile(weights, 60, 90.0)
+    assert flat.min() <= some <= flat.max() and C.sampled_percentile(weights.limit(0), 10, 99.0) == 0.0
+    found = C.alike(tokens, 0, sample=10_000, percent=90.0).collect()
+    assert {(r["user_1"], r["user_2"]) for r in found} == {(names[i], names[j]) for i, j in zip(*np.triu_indices(len(names), 1)) if round(s[i, j], 9) > np.percentile(flat, 90.0)}
+    has = {}
+    for a, t in rows:
+        has.setdefault(a, set()).add(t)
+    pairs = spark.createDataFrame([("a01", "a02"), ("a03", "a04")], "user_1 string, user_2 string")
+    for r in C.shared_tokens(pairs, tokens, "user_1", "user_2", 2, "; ").collect():
+        assert (r["shared_tokens"] or "") == "; ".join(sorted(has[r["user_1"]] & has[r["user_2"]])[:2])
+
+
+def test_null_model_by_characters(spark):
+    """The levels of dense_levels() are those of all pairs, in one block and in several."""
+    rng = np.random.default_rng(1)
+    rows = [(r, f"u{i}", f"g{j}", float(w)) for r in (1, 2) for i in range(9) for j, w in enumerate(rng.random(5)) if w > 0.2]
+    df = spark.createDataFrame(rows, "rep int, author string, token string, w double")
+    want = []
+    for r in (1, 2):
+        x = np.zeros((9, 5))
+        for k, a, t, w in rows:
+            if k == r:
+                x[int(a[1:]), int(t[1:])] = w
+        want += np.round((x @ x.T)[np.triu_indices(9, 1)], 6).tolist()
+    for block in (512, 4):
+        levels = C.dense_levels(df, "rep", block).collect()
+        assert sorted(v for r in levels for v in [r["similarity"]] * r["n"]) == sorted(want)
+    assert math.isclose(C.levels_percentile(C.dense_levels(df, "rep"), 37.0), np.percentile(want, 37.0), abs_tol=1e-6)
+    assert C.levels_percentile(spark.createDataFrame([], "similarity double, n long"), 50.0) == 0.0
+
+
+def test_listing_labeled_pairs_and_names(spark):
+    from tallyloom.functions import text as X
+
+    rows = spark.createDataFrame([(i, 0 if i < 6 else 1 if i < 14 else -1, f"text  {i}") for i in range(30)] + [(99, 2, None)], "id int, label int, text string")
+    got = K.cluster_listing(rows, 5, 2).orderBy("place", "k").collect()
+    assert [(r["place"], r["label"], r["size"], r["id"], r["text"]) for r in got] == [(1, 1, 8, 6, "text 6"), (1, 1, 8, 7, "text 7"), (2, 0, 6, 0, "text 0"), (2, 0, 6, 1, "text 1")]
+    pairs = spark.createDataFrame([("p", "a", "b", 1), ("q", "a", "a", 0), ("r", "a", "gone", 1), ("s", None, "a", 0)], "pair_id string, text_a string, text_b string, label int")
+    assert {r[0] for r in V.unique_texts(pairs).collect()} == {"a", "b", "gone"}
+    vectors_ = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.6, 0.8])], "text string, v array<double>")
+    assert {r["pair_id"]: r["similarity"] for r in V.score_pairs(pairs, vectors_).collect()} == {"p": 0.6, "q": 1.0}
+    names = spark.createDataFrame([("NewsBot", "r/Cats", "t5_1"), ("ann", None, "T5_2 "), ("[deleted]", "dogs", None), (None, "", "x")], "a string, s string, i string")
+    kept = names.select(X.without_parts("a", ("BOT", " ", "delet"), ("[deleted]",)).alias("k"), X.matched_community(["cats", "t5_2"], "s", "i").alias("m")).collect()
+    assert [(r["k"], r["m"]) for r in kept] == [(False, "cats"), (True, "t5_2"), (True, None), (None, None)] and X.whole_numbers("8, 16,,32 ") == [8, 16, 32]
