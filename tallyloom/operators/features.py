@@ -21,7 +21,7 @@ from tallyloom.operators.records import numbered
 from tallyloom.session import cut
 
 DAY = 86400.0
-GATHERED = 1000  # so many values of one author may come into one row
+GATHERED = 100_000  # so many values of one author, less than a megabyte, may come into one row
 
 
 def _both(comments: DataFrame, submissions: DataFrame, *columns: str) -> DataFrame:

@@ -9,7 +9,7 @@ from tallyloom.functions.urls import URL_FEATURES
 from tallyloom.operators import features as G
 from tallyloom.operators.timing import bare_id
 from tallyloom.plans.base import comments, sql_records, submissions
-from tallyloom.session import cut
+from tallyloom.session import stored
 
 _C = ("author", "subreddit", "created_utc", "score", "body", "controversiality", "banned_at_utc", "parent_id")
 _S = ("author", "subreddit", "created_utc", "score", "title", "selftext", "url", "upvote_ratio", "num_comments", "removed_by_category", "over_18", "banned_at_utc")
@@ -84,8 +84,8 @@ def username_features(spark: SparkSession, d: str) -> DataFrame:
 
 def author_features(spark: SparkSession, d: str) -> DataFrame:
     """All feature groups in one table, for authors that commented."""
-    rows = cut(comments(spark, d, *_C).withColumn("parent", F.when(F.col("parent_id").startswith("t1_"), bare_id("parent_id"))))
-    c, s = rows.where("author IS NOT NULL"), cut(_s(spark, d))
+    rows = stored(comments(spark, d, *_C).withColumn("parent", F.when(F.col("parent_id").startswith("t1_"), bare_id("parent_id"))))
+    c, s = rows.where("author IS NOT NULL"), stored(_s(spark, d))
     who = c.select("author").distinct()
     parents = rows.select("id", "created_utc")
     known = G.domain_coverage(G.author_urls(c, s).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))).where(F.col("rank") <= WHITELIST).select("domain")

@@ -52,5 +52,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a written table in the checkpoint folder: like cut(), for wide rows of which later stages read few columns each."""
+    path = scratch(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

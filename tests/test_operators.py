@@ -197,6 +197,7 @@ def brute_entropy(x):
 
 def test_statistics_of_large_samples(spark, monkeypatch):
     """Samples beyond what one row may hold are ranked by ranges; ties, hot values and nulls."""
+    monkeypatch.setattr(G, "GATHERED", 1000)
     rng = random.Random(2)
     rows = [("hot", rng.expovariate(1.0)) for _ in range(3000)] + [("ties", float(rng.randrange(400))) for _ in range(1500)] + [("flat", 7.0 if i % 3 else float(i)) for i in range(1200)] + [("few", float(i * i)) for i in range(30)] + [("none", None)]
     got = {r["k"]: r for r in G.sample_statistics(spark.createDataFrame(rows, "k string, x double").repartition(7), ("k",), "x").collect()}
