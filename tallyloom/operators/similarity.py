@@ -259,11 +259,13 @@ def recall_precision(exact: DataFrame, found: DataFrame) -> DataFrame:
     return counts.withColumn("recall", recall).withColumn("precision", precision)
 
 
-def account_rollup(pairs: DataFrame, least: int = 1) -> DataFrame:
+def account_rollup(pairs: DataFrame, least: int = 1, digits: int = 6) -> DataFrame:
     """(author, cross_account_matches, max_similarity, avg_similarity): each pair (author_a, author_b, similarity) counts for both;
-    the mean is that of rounded similarities."""
-    ends = pairs.select(F.explode(F.array("author_a", "author_b")).alias("author"), F.round("similarity", 6).alias("s"))
-    by = ends.groupBy("author").agg(F.count(F.lit(1)).alias("cross_account_matches"), F.round(F.max("s"), 6).alias("max_similarity"), F.round(F.avg("s"), 6).alias("avg_similarity"))
+    the mean is that of similarities rounded to six digits. They are added as decimals and the mean is rounded once, to `digits`
+    digits, half up, so it doesn't depend on the order of the pairs."""
+    ends = pairs.select(F.explode(F.array("author_a", "author_b")).alias("author"), F.col("similarity").cast("decimal(18,6)").alias("s"))
+    mean = F.round(F.sum("s") / F.count("s"), digits).cast("double")
+    by = ends.groupBy("author").agg(F.count(F.lit(1)).alias("cross_account_matches"), F.max("s").cast("double").alias("max_similarity"), mean.alias("avg_similarity"))
     return by.where(F.col("cross_account_matches") >= least)
 
 

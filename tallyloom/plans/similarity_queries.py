@@ -36,11 +36,11 @@ def embedding_range_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def suspicious_accounts(spark: SparkSession, d: str) -> DataFrame:
     """Authors of like comments: pairs of vectors of different authors, rolled up by author."""
-    owner = table(spark, d, "comment_vectors").select("vec_id", F.col("comment_id").alias("id")).distinct().join(comments(spark, d, "author").where("author IS NOT NULL"), "id")
+    owner = table(spark, d, "comment_vectors").select("vec_id", F.col("comment_id").alias("id")).join(comments(spark, d, "author", "subreddit").where("author IS NOT NULL"), "id")
+    owner = owner.select("vec_id", "author", "subreddit").distinct()
     pairs = V.range_pairs(cut(_vectors(spark, d)), THRESHOLD)
     both = pairs.join(owner.select(F.col("vec_id").alias("a"), F.col("author").alias("author_a")), "a").join(owner.select(F.col("vec_id").alias("b"), F.col("author").alias("author_b")), "b")
-    rolled = V.account_rollup(both.where("author_a <> author_b").withColumn("similarity", F.round("similarity", 5)))
-    return rolled.withColumn("avg_similarity", F.round("avg_similarity", 4))
+    return V.account_rollup(both.where("author_a <> author_b").withColumn("similarity", F.round("similarity", 5)), digits=4)
 
 
 def sampled_quantile(spark: SparkSession, d: str) -> DataFrame:

@@ -49,6 +49,34 @@ def test_runs(spark, name):
     assert len(df.columns) and df.count() >= 0
 
 
+# the mean 0.9527495 rounds to 0.9527, by way of six digits to 0.9528; the mean 0.95965 is a tie, where SQL depends on the order of its sum
+@pytest.mark.parametrize(("similarities", "mean"), [([0.95275] * 19 + [0.95274], 0.9527), ([0.95575, 0.95082, 0.97238], 0.9597), ([0.97238, 0.95082, 0.95575], 0.9597)])
+def test_suspicious_accounts_round_the_mean_once(spark, tmp_path, similarities, mean):
+    vectors = [(0, "c0", [1.0, 0.0]), *[(i, f"c{i}", [s, math.sqrt(1 - s * s)]) for i, s in enumerate(similarities, 1)]]
+    got, want = _suspicious(spark, tmp_path, vectors, [(v[1], "one" if v[0] == 0 else "two", "r") for v in vectors])
+    n = len(similarities)
+    assert got == {"one": (n, max(similarities), mean), "two": (n, max(similarities), mean)}
+    assert {a: r[:2] for a, r in got.items()} == {a: r[:2] for a, r in want.items()}
+    assert mean == 0.9597 or got == want
+
+
+def test_suspicious_accounts_of_a_vector_of_two_comments(spark, tmp_path):
+    vectors = [(0, "c0", [1.0, 0.0]), (1, "c1", [0.9, math.sqrt(0.19)]), (1, "c2", [0.9, math.sqrt(0.19)]), (1, "c3", [0.9, math.sqrt(0.19)])]
+    got, want = _suspicious(spark, tmp_path, vectors, [("c0", "one", "r"), ("c1", "two", "r"), ("c2", "two", "r"), ("c3", "two", "other")])
+    assert got == want == {"one": (2, 0.9, 0.9), "two": (2, 0.9, 0.9)}
+
+
+def _suspicious(spark, folder, vectors, comments):
+    """The rows by author of suspicious_accounts and of its SQL over a few vectors and comments."""
+    spark.createDataFrame(vectors, "vec_id long, comment_id string, vec array<double>").write.parquet(f"{folder}/comment_vectors.parquet")
+    spark.createDataFrame([(*c, "2019-01", 1) for c in comments], "id string, author string, subreddit string, source_period string, score long").write.parquet(f"{folder}/comments.parquet")
+    con = duckdb.connect()
+    for name in ("comment_vectors", "comments"):
+        con.execute(f"create view {name} as select * from '{folder}/{name}.parquet/*.parquet'")
+    got, want = catalogue.QUERIES["suspicious_accounts"](spark, str(folder)).collect(), con.execute(catalogue.SQL["suspicious_accounts"]).fetchall()
+    return {r[0]: tuple(r[1:]) for r in got}, {r[0]: tuple(r[1:]) for r in want}
+
+
 def test_no_llm_in_core():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     for folder, _, files in os.walk(f"{root}/tallyloom"):
